@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipeloom.llm.near_duplicates import near_duplicates
 from pipeloom.llm.substring_dedup import strip_repeats
+from pipeloom.llm.token_counts import token_report
 from pipeloom.shared import load
 
 
@@ -17,12 +19,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op9_minhash": op9_minhash}
+    return {"op1_substring_dedup": op1_substring_dedup, "op4_token_counts": op4_token_counts, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
