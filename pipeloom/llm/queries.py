@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipeloom.llm.near_duplicates import near_duplicates
+from pipeloom.llm.packing import pack
 from pipeloom.llm.substring_dedup import strip_repeats
 from pipeloom.llm.token_counts import token_report
 from pipeloom.shared import load
@@ -23,12 +24,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=4096, end=2)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op4_token_counts": op4_token_counts, "op9_minhash": op9_minhash}
+    return {"op1_substring_dedup": op1_substring_dedup, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
