@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from pipeloom.llm.near_duplicates import near_duplicates
 from pipeloom.llm.packing import pack
+from pipeloom.llm.pii import KINDS as PII_KINDS
+from pipeloom.llm.pii import find_pii
+from pipeloom.llm.quality import score_quality, train_quality
+from pipeloom.llm.secrets_scan import find_secrets
+from pipeloom.llm.spans import listed, number
 from pipeloom.llm.substring_dedup import strip_repeats
 from pipeloom.llm.token_counts import token_report
 from pipeloom.shared import load
@@ -20,6 +25,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = train_quality(docs, labels.filter(~held_out), metadata=("n_chars",))
+    scored = score_quality(docs.select("doc_id", "text", "n_chars"), model, metadata=("n_chars",))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -28,12 +41,23 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=4096, end=2)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    base, spans = ["assign", "access", "hex"], F.col("spans")
+    return found.select("doc_id", *(number(spans, k).alias(f"n_{k}") for k in base), F.sha2(listed(spans, base), 256).alias("base_sha256"), listed(spans).alias("spans"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, spans = find_pii(load(spark, sf_dir, "documents")), F.col("spans")
+    return found.select("doc_id", *(number(spans, k).alias(f"n_{k}") for k in PII_KINDS), F.sha2(listed(spans, PII_KINDS), 256).alias("base_sha256"), listed(spans).alias("spans"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op9_minhash": op9_minhash}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op7_secrets": op7_secrets, "op9_minhash": op9_minhash, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
