@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pipeloom.llm import line_dedup
 from pipeloom.llm.near_duplicates import near_duplicates
 from pipeloom.llm.packing import pack
 from pipeloom.llm.pii import KINDS as PII_KINDS
@@ -41,6 +42,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=4096, end=2)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(load(spark, sf_dir, "documents"), min_lines=3, min_chars=60).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     base, spans = ["assign", "access", "hex"], F.col("spans")
@@ -57,8 +62,8 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op7_secrets": op7_secrets, "op9_minhash": op9_minhash, "op10_pii": op10_pii}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op9_minhash": op9_minhash, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": line_dedup.ORACLE_SQL}
