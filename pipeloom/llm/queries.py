@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipeloom.llm import line_dedup
+from pipeloom.llm.decontaminate import find_contamination
 from pipeloom.llm.near_duplicates import near_duplicates
 from pipeloom.llm.packing import pack
 from pipeloom.llm.pii import KINDS as PII_KINDS
@@ -34,6 +35,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -62,7 +67,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op9_minhash": op9_minhash, "op10_pii": op10_pii}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op9_minhash": op9_minhash, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:

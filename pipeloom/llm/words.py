@@ -73,8 +73,8 @@ class Chunk:
         return out, whole
 
 
-def chunks(text: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Rows of a string column in pieces of about `most` bytes, never parting a row; nulls count as empty."""
+def chunks(text: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES, fold: np.ndarray | None = None) -> Iterator[Chunk]:
+    """Rows of a string column in pieces of about `most` bytes, never parting a row; nulls count as empty. fold: replaces each byte."""
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
     text = pc.fill_null(text, "" if pa.types.is_string(text.type) or pa.types.is_large_string(text.type) else b"")
@@ -87,7 +87,8 @@ def chunks(text: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES) -> Iterato
     i = 0
     while i < len(text):
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
-        yield _chunk(slice(i, j), data[at[i] : at[j]], at[i : j + 1] - at[i])
+        part = data[at[i] : at[j]]
+        yield _chunk(slice(i, j), part if fold is None else fold[part], at[i : j + 1] - at[i])
         i = j
 
 
