@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,9 +60,13 @@ class Bench:
         return at[same], k[same]
 
 
+def _folded(texts: pa.Array) -> Iterator[Chunk]:
+    return chunks(pc.utf8_lower(texts), fold=_FOLD)
+
+
 def _hashes(texts: list[str]) -> list[np.ndarray]:
     out: list[np.ndarray] = []
-    for c in chunks(pa.array(texts, pa.string()), fold=_FOLD):
+    for c in _folded(pa.array(texts, pa.string())):
         h = c.hashes()
         out += [h[i:j] for i, j in zip(c.first[:-1], c.first[1:])]
     return out
@@ -111,7 +116,7 @@ def _census(bench: Bench):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = np.zeros(len(bench.terms), np.int64), 0
         for batch in batches:
-            for c in chunks(batch.column(0), fold=_FOLD):
+            for c in _folded(batch.column(0)):
                 h = c.hashes()
                 total += len(h)
                 seen += np.bincount(bench.lookup(h)[1], minlength=len(seen))
@@ -140,7 +145,7 @@ def _sketch(bench: Bench, random: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((len(bench.terms), random.shape[1]), np.float64)
         for batch in batches:
-            for c in chunks(batch.column(0), fold=_FOLD):
+            for c in _folded(batch.column(0)):
                 k, half, passages, whole, _, ends = _vectors(bench, c, random)
                 if not len(k):
                     continue
@@ -213,7 +218,7 @@ def _search(bench: Bench, basis: np.ndarray, ratio: float, weak: float):
         unit = (goal / np.maximum(size, 1e-12)[:, None]).T.astype(np.float32)
         for batch in batches:
             docs, items, starts, covers = [], [], [], []
-            for c in chunks(batch.column(1), fold=_FOLD):
+            for c in _folded(batch.column(1)):
                 h = c.hashes()
                 k, half, passages, whole, base, ends = _vectors(bench, c, basis)
                 for s in range(0, len(passages), step):

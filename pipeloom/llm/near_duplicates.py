@@ -23,7 +23,7 @@ from pipeloom.operators.components import components
 from pipeloom.shared import staged
 
 BAND, TABLES = 3, 12
-BLOCK = 256
+BLOCK = 8192
 BROADCAST_IDS = 2_000_000
 _SEEDS = np.random.default_rng(77).integers(0, 1 << 32, (2, 2 * BAND * TABLES), dtype=np.uint32)
 
@@ -83,10 +83,7 @@ def _signatures(words: int):
 
 def _keys(sig: np.ndarray) -> np.ndarray:
     """The keys of all tables for each signature: pairs of one small hash of either collection."""
-    part = np.zeros((len(sig), 2 * TABLES), np.uint64)
-    for i in range(BAND):
-        part = mix(part + sig[:, i::BAND].astype(np.uint64) + np.uint64(1))
-    left, right = part[:, :TABLES, None], part[:, None, TABLES:]
+    left, right = _small(sig, 0)[:, :, None], _small(sig, TABLES)[:, None, :]
     place = np.arange(TABLES * TABLES, dtype=np.uint64).reshape(1, TABLES, TABLES)
     return mix(mix(left + place) ^ (right * np.uint64(0x9E3779B97F4A7C15))).reshape(len(sig), -1)
 
@@ -135,25 +132,47 @@ def _record(bucket: np.ndarray, keys: list, ids: list, lows: list) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *packed], names=["bucket", "keys", "ids", "lows"])
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Of one bucket: the members of each key that has several, as (key, id, low), low being a smaller or equal id with that key."""
-    open_keys, open_ids, out = [], [], []
-    for k, i, low in zip(*(table.column(c).to_pylist() for c in ("keys", "ids", "lows"))):
-        if low is None:
-            open_keys.append(np.frombuffer(k, np.uint64))
-            open_ids.append(np.frombuffer(i, np.int64))
-        else:
-            out.append((np.frombuffer(k, np.int64), np.frombuffer(i, np.int64), np.frombuffer(low, np.int64)))
-    if open_keys:
-        keys, ids = np.concatenate(open_keys), np.concatenate(open_ids)
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], ids[order]
-        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        size = np.diff(np.append(begin, len(keys)))
-        many = np.repeat(size > 1, size)
-        out.append((keys.view(np.int64)[many], ids[many], np.repeat(np.minimum.reduceat(ids, begin), size)[many]))
-    columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-    return pa.Table.from_arrays([pa.array(x) for x in columns], names=["key", "id", "low"])
+def _meet(buckets: int):
+    """Of one bucket of keys: each member of a key that has several, with the key's smallest id, packed by bucket of the member."""
+
+    def run(table: pa.Table) -> pa.Table:
+        open_keys, open_ids, found = [], [], [np.zeros((0, 2), np.int64)]
+        for k, i, low in zip(*(table.column(c).to_pylist() for c in ("keys", "ids", "lows"))):
+            if low is None:
+                open_keys.append(np.frombuffer(k, np.uint64))
+                open_ids.append(np.frombuffer(i, np.int64))
+            else:
+                found.append(np.stack((np.frombuffer(i, np.int64), np.frombuffer(low, np.int64)), axis=1))
+        if open_keys:
+            keys, ids = np.concatenate(open_keys), np.concatenate(open_ids)
+            order = np.argsort(keys, kind="stable")
+            keys, ids = keys[order], ids[order]
+            begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            size = np.diff(np.append(begin, len(keys)))
+            many = np.repeat(size > 1, size)
+            found.append(np.stack((ids[many], np.repeat(np.minimum.reduceat(ids, begin), size)[many]), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        to = (mix(pairs[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        pairs, to = pairs[order], to[order]
+        cut = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+        stop = np.append(cut[1:], len(to))
+        return pa.Table.from_arrays([pa.array(to[cut]), pa.array([pairs[i:j].tobytes() for i, j in zip(cut, stop)], pa.binary())], names=["bucket", "pairs"])
+
+    return run
+
+
+def _choose(table: pa.Table) -> pa.Table:
+    """Of one bucket of members: each with a few of the smallest ids that it met: the least, and two by the order of a hash."""
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 2) for x in table.column("pairs").to_pylist())])
+    picks = []
+    for salt in (None, 1, 2):
+        rank = pairs[:, 1] if salt is None else mix(pairs[:, 1].astype(np.uint64) * np.uint64(2 * salt + 1))
+        order = np.lexsort((rank, pairs[:, 0]))
+        if salt is None:
+            first = np.append(True, pairs[order, 0][1:] != pairs[order, 0][:-1])[: len(order)]
+        picks.append(pairs[order[first]])
+    return pa.Table.from_arrays([pa.array(picks[0][:, 0]), pa.array(np.stack([p[:, 1] for p in picks], axis=1).tolist(), pa.list_(pa.int64()))], names=["id", "lows"])
 
 
 def _shingles(words: int):
@@ -189,23 +208,48 @@ def _confirm(percent: int):
     return run
 
 
-def _cross(floor: float):
-    """Of a block pair of one key: pairs of different components whose signatures agree well enough."""
+def _small(sig: np.ndarray, begin: int) -> np.ndarray:
+    """The small hashes of one collection."""
+    part = np.zeros((len(sig), TABLES), np.uint64)
+    for i in range(BAND):
+        part = mix(part + sig[:, i::BAND][:, begin : begin + TABLES].astype(np.uint64) + np.uint64(1))
+    return part
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
+
+def _left_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_small(sig, 0).view(np.int64).tolist(), pa.list_(pa.int64()))], names=[*batch.schema.names, "left"])
+
+
+def _cross(floor: float, likeliest: bool):
+    """Of two blocks of rows with one equal hash of the left collection: pairs of different components that share a
+    table, whose signatures agree well enough, and which share no earlier hash of that collection (so each comes once).
+    likeliest: of each row only the pair with each other component whose signatures agree most."""
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
         ids, comp, block = (t.column(c).to_numpy() for c in ("id", "comp", "block"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
-        bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
-        left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
-        out_a, out_b = [], []
-        for i in left:
-            j = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (bi != bj))]
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= floor]
-            out_a.append(np.minimum(ids[i], ids[j]))
-            out_b.append(np.maximum(ids[i], ids[j]))
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+        place, bi, bj = (t.column(c)[0].as_py() for c in ("place", "bi", "bj"))
+        left, right = _small(sig, 0), _small(sig, TABLES)
+        names, size = np.unique(comp, return_counts=True)
+        out = [np.zeros((0, 2), np.int64)]
+        for i in np.flatnonzero(comp != names[np.argmax(size)]):
+            major = comp == names[np.argmax(size)]
+            j = np.flatnonzero((comp != comp[i]) & (major | (ids > ids[i])) & ((block != block[i]) | (bi == bj)))
+            agree = (sig[j] == sig[i]).mean(axis=1)
+            j, agree = j[agree >= floor], agree[agree >= floor]
+            if likeliest:
+                order = np.lexsort((ids[j], -agree, comp[j]))
+                j = j[order[np.append(True, comp[j[order]][1:] != comp[j[order]][:-1])[: len(order)]]]
+                j = j[(right[j] == right[i]).any(axis=1)]
+            else:
+                j = j[(right[j] == right[i]).any(axis=1) & (np.argmax(left[j] == left[i], axis=1) == place)]
+            out.append(np.stack((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])), axis=1))
+        pairs = np.concatenate(out)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
@@ -220,23 +264,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     nodes = staged(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "nodes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * TABLES * TABLES // 4_000_000)
     packed = nodes.select("id", "sig").mapInArrow(_emit(buckets), "bucket int, keys binary, ids binary, lows binary")
-    members = staged(packed.groupBy("bucket").applyInArrow(_meet, "key long, id long, low long"), "members")
+    met = packed.groupBy("bucket").applyInArrow(_meet(buckets), "bucket int, pairs binary")
+    members = staged(met.groupBy("bucket").applyInArrow(_choose, "id long, lows array<long>"), "members")
 
     sig_of = nodes.select("id", "sig")
-    star = members.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    star = members.select("id", F.explode(F.array_distinct("lows")).alias("a")).filter("id <> a").select("a", F.col("id").alias("b"))
     star = star.join(sig_of.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sig_of.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
     star = staged(star.mapInArrow(_screen(floor), "a long, b long"), "pairs")
 
-    wanted = members.select("id").distinct()
-    if (n := wanted.count()) <= BROADCAST_IDS:  # 8 bytes each; beyond it the join shuffles
+    wanted = members.select("id")
+    if wanted.count() <= BROADCAST_IDS:  # 8 bytes each; beyond it the join shuffles
         wanted = F.broadcast(wanted)
-    sets = staged(rows.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_shingles(words), "id long, shingles binary"), "sets") if n else None
-    if sets is None:
-        links = star
-    else:
-        sets = sets.dropDuplicates(["id"])
-        links = staged(_confirmed(star, sets, percent), "links")
-        links = links.unionByName(staged(_rest(members, sig_of, components(links), sets, percent, floor, block, star), "links"))
+    sets = rows.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_shingles(words), "id long, shingles binary")
+    sets = staged(sets, "sets").dropDuplicates(["id"])
+    links = staged(_confirmed(star, sets, percent), "links")
+    done = star
+    for likeliest in (True, False):  # the second round takes all that is left
+        pairs = _rest(members, sig_of, components(links), floor, block, likeliest)
+        pairs = staged(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        links, done = links.unionByName(staged(_confirmed(pairs, sets, percent), "links")), done.unionByName(pairs)
     comp = components(links)
     node = nodes.select("h1", "h2", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("component_id", "id").alias("c"))
     copies = sigs.select("doc_id", "n_shingles", "h1", "h2").join(node, ["h1", "h2"], "left")
@@ -260,25 +306,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _rest(members: DataFrame, sig_of: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, floor: float, block: int, done: DataFrame) -> DataFrame:
-    """Links that the pairs with a key's smallest id leave out: all pairs of different components that share a key.
+def _rest(members: DataFrame, sig_of: DataFrame, comp: DataFrame, floor: float, block: int, likeliest: bool) -> DataFrame:
+    """Pairs that the chosen ones leave out: among all pairs that share a table, those of different components.
 
-    Keys whose members already are in one component need nothing. A large key is cut into blocks, and each pair of
-    blocks is a group of its own, so that no group holds more than two blocks.
+    Two rows share a table if they share a hash of either collection, so rows meet by their hashes of the left one and
+    are compared there. Hashes whose rows already are in one component need nothing. The rows of a frequent hash are
+    cut into blocks, and each pair of blocks is a group of its own, so that no group holds more than two blocks.
     """
-    named = members.select("key", "id").distinct().join(comp.select(F.col("node").alias("id"), "component_id"), "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2 and size > 2").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    dealt = named.join(mixed, "key").select("key", "id", "comp", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "blocks")
-    dealt = dealt.select("key", "id", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "id", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).join(sig_of, "id")
-    pairs = dealt.groupBy("key", "bi", "bj").applyInArrow(_cross_group(floor), "a long, b long").distinct()
-    return _confirmed(staged(pairs.join(done, ["a", "b"], "left_anti"), "rest"), sets, percent)
-
-
-def _cross_group(floor: float):
-    run = _cross(floor)
-
-    def group(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(run(iter(table.to_batches()))), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    return group
+    named = members.select("id").join(comp.select(F.col("node").alias("id"), "component_id"), "id", "left").join(sig_of, "id").select("id", F.coalesce("component_id", "id").alias("comp"), "sig")
+    named = staged(named.mapInArrow(_left_hashes, "id long, comp long, sig binary, left array<long>"), "named")
+    spread = named.select("id", "comp", F.posexplode("left").alias("place", "hash"))
+    mixed = spread.groupBy("place", "hash").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size"))
+    mixed = mixed.filter("c1 <> c2").select("place", "hash", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    dealt = spread.join(mixed, ["place", "hash"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("place", "hash", "id", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).join(named.select("id", "sig"), "id")
+    return dealt.groupBy("place", "hash", "bi", "bj").applyInArrow(_cross(floor, likeliest), "a long, b long")
