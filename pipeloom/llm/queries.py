@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pipeloom.llm import line_dedup
 from pipeloom.llm.decontaminate import find_contamination
+from pipeloom.llm.embedding_dedup import near_vectors
 from pipeloom.llm.near_duplicates import near_duplicates
 from pipeloom.llm.packing import pack
 from pipeloom.llm.pii import KINDS as PII_KINDS
@@ -57,6 +58,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(number(spans, k).alias(f"n_{k}") for k in base), F.sha2(listed(spans, base), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(load(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, spans = find_pii(load(spark, sf_dir, "documents")), F.col("spans")
     return found.select("doc_id", *(number(spans, k).alias(f"n_{k}") for k in PII_KINDS), F.sha2(listed(spans, PII_KINDS), 256).alias("base_sha256"), listed(spans).alias("spans"))
@@ -67,7 +72,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op9_minhash": op9_minhash, "op10_pii": op10_pii}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op8_embedding_dedup": op8_embedding_dedup, "op9_minhash": op9_minhash, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
