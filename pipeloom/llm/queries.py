@@ -71,8 +71,14 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op8_embedding_dedup": op8_embedding_dedup, "op9_minhash": op9_minhash, "op10_pii": op10_pii}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op8_embedding_dedup": op8_embedding_dedup, "op9_minhash": op9_minhash, "op10_pii": op10_pii, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
