@@ -76,9 +76,9 @@ def _deal(seen: np.ndarray, most: int) -> tuple[np.ndarray, int]:
 
 
 def _pack(group, doc, text, pos, node) -> Iterator[tuple]:
-    """One record for each group; entries come in order of (group, doc, text, pos). Places travel as steps within a document."""
+    """One record for each group; entries come in order of (group, doc, text, pos), once more from the start where a row repeats. Places travel as steps within a row."""
     cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    new = np.append(True, (group[1:] != group[:-1]) | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]))
+    new = np.append(True, (group[1:] != group[:-1]) | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (pos[1:] < pos[:-1]))
     step = np.where(new, pos, pos - np.append(0, pos[:-1]))
     heads = np.flatnonzero(new)
     counts = np.diff(np.append(heads, len(doc)))
