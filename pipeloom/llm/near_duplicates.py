@@ -23,7 +23,7 @@ from pipeloom.operators.components import components
 from pipeloom.shared import staged
 
 BAND, TABLES = 3, 12
-BLOCK = 8192
+BLOCK_BYTES = 16 << 20
 BROADCAST_IDS = 2_000_000
 _SEEDS = np.random.default_rng(77).integers(0, 1 << 32, (2, 2 * BAND * TABLES), dtype=np.uint32)
 
@@ -223,38 +223,54 @@ def _left_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_small(sig, 0).view(np.int64).tolist(), pa.list_(pa.int64()))], names=[*batch.schema.names, "left"])
 
 
-def _cross(floor: float, likeliest: bool):
-    """Of two blocks of rows with one equal hash of the left collection: pairs of different components that share a
-    table, whose signatures agree well enough, and which share no earlier hash of that collection (so each comes once).
-    likeliest: of each row only the pair with each other component whose signatures agree most."""
+def _cross(floor: float, percent: int):
+    """Of two blocks of rows with one equal hash of the left collection: links between different components, a spanning
+    set of them. Pairs that share a table, whose signatures agree well enough, and which share no earlier hash of that
+    collection (so each is met once) are confirmed on their whole sets, a row against all its partners at once. Rows
+    of the largest component ask nothing, and components that get linked are one from then on."""
 
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        ids, comp, block = (t.column(c).to_numpy() for c in ("id", "comp", "block"))
+        ids, block = (t.column(c).to_numpy() for c in ("id", "block"))
+        comp = t.column("comp").to_numpy().copy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
         place, bi, bj = (t.column(c)[0].as_py() for c in ("place", "bi", "bj"))
         left, right = _small(sig, 0), _small(sig, TABLES)
-        names, size = np.unique(comp, return_counts=True)
-        out = [np.zeros((0, 2), np.int64)]
-        for i in np.flatnonzero(comp != names[np.argmax(size)]):
-            major = comp == names[np.argmax(size)]
-            j = np.flatnonzero((comp != comp[i]) & (major | (ids > ids[i])) & ((block != block[i]) | (bi == bj)))
-            agree = (sig[j] == sig[i]).mean(axis=1)
-            j, agree = j[agree >= floor], agree[agree >= floor]
-            if likeliest:
-                order = np.lexsort((ids[j], -agree, comp[j]))
-                j = j[order[np.append(True, comp[j[order]][1:] != comp[j[order]][:-1])[: len(order)]]]
-                j = j[(right[j] == right[i]).any(axis=1)]
-            else:
-                j = j[(right[j] == right[i]).any(axis=1) & (np.argmax(left[j] == left[i], axis=1) == place)]
-            out.append(np.stack((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])), axis=1))
-        pairs = np.concatenate(out)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        local = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        begin = np.cumsum(size) - size
+        marked = np.zeros(int(local.max()) + 1, bool)
+        names, count = np.unique(comp, return_counts=True)
+        largest, asked = names[np.argmax(count)], np.zeros(len(ids), bool)
+        out = []
+        for i in np.flatnonzero(comp != largest):
+            asked[i] = True
+            j = np.flatnonzero((comp != comp[i]) & ~asked & ((block != block[i]) | (bi == bj)))
+            j = j[(sig[j] == sig[i]).mean(axis=1) >= floor]
+            j = j[(right[j] == right[i]).any(axis=1) & (np.argmax(left[j] == left[i], axis=1) == place)]
+            j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+            if not len(j):
+                continue
+            mine = local[begin[i] : begin[i] + size[i]]
+            marked[mine] = True
+            ends = np.cumsum(size[j])
+            at = np.repeat(begin[j] - (ends - size[j]), size[j]) + np.arange(ends[-1])
+            common = np.add.reduceat(marked[local[at]].astype(np.int64), ends - size[j])
+            marked[mine] = False
+            j = j[100 * common >= percent * (size[j] + size[i] - common)]
+            if len(j):
+                met, first = np.unique(comp[j], return_index=True)
+                out.append(np.stack((np.full(len(met), ids[i]), ids[j[first]]), axis=1))
+                one = largest if largest in met else comp[i]
+                comp[np.isin(comp, np.append(met, comp[i]))] = one
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *out])
+        return pa.Table.from_arrays([pa.array(pairs.min(axis=1) if len(pairs) else pairs[:, 0]), pa.array(pairs.max(axis=1) if len(pairs) else pairs[:, 1])], names=["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
     """Returns doc_id, n_shingles, component_id, kept for every row of docs; links are 100 * common >= percent * union."""
     spark = docs.sparkSession
     floor = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / (2 * BAND * TABLES)) ** 0.5
@@ -278,11 +294,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets = rows.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_shingles(words), "id long, shingles binary")
     sets = staged(sets, "sets").dropDuplicates(["id"])
     links = staged(_confirmed(star, sets, percent), "links")
-    done = star
-    for likeliest in (True, False):  # the second round takes all that is left
-        pairs = _rest(members, sig_of, components(links), floor, block, likeliest)
-        pairs = staged(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        links, done = links.unionByName(staged(_confirmed(pairs, sets, percent), "links")), done.unionByName(pairs)
+    more = _rest(members, sig_of, components(links), sets, percent, floor, block)
+    links = links.unionByName(staged(more, "links"))
     comp = components(links)
     node = nodes.select("h1", "h2", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("component_id", "id").alias("c"))
     copies = sigs.select("doc_id", "n_shingles", "h1", "h2").join(node, ["h1", "h2"], "left")
@@ -306,8 +319,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _rest(members: DataFrame, sig_of: DataFrame, comp: DataFrame, floor: float, block: int, likeliest: bool) -> DataFrame:
-    """Pairs that the chosen ones leave out: among all pairs that share a table, those of different components.
+def _rest(members: DataFrame, sig_of: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, floor: float, block: int) -> DataFrame:
+    """Links that the chosen pairs leave out: among all pairs that share a table, those of different components.
 
     Two rows share a table if they share a hash of either collection, so rows meet by their hashes of the left one and
     are compared there. Hashes whose rows already are in one component need nothing. The rows of a frequent hash are
@@ -315,10 +328,11 @@ def _rest(members: DataFrame, sig_of: DataFrame, comp: DataFrame, floor: float,
     """
     named = members.select("id").join(comp.select(F.col("node").alias("id"), "component_id"), "id", "left").join(sig_of, "id").select("id", F.coalesce("component_id", "id").alias("comp"), "sig")
     named = staged(named.mapInArrow(_left_hashes, "id long, comp long, sig binary, left array<long>"), "named")
-    spread = named.select("id", "comp", F.posexplode("left").alias("place", "hash"))
-    mixed = spread.groupBy("place", "hash").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size"))
-    mixed = mixed.filter("c1 <> c2").select("place", "hash", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    sized = named.join(sets.select("id", F.octet_length("shingles").alias("bytes")), "id")
+    spread = sized.select("id", "comp", "bytes", F.posexplode("left").alias("place", "hash"))
+    mixed = spread.groupBy("place", "hash").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.sum("bytes").alias("bytes"))
+    mixed = mixed.filter("c1 <> c2").select("place", "hash", F.ceil(F.col("bytes") / block).cast("int").alias("blocks"))
     dealt = spread.join(mixed, ["place", "hash"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("place", "hash", "id", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).join(named.select("id", "sig"), "id")
-    return dealt.groupBy("place", "hash", "bi", "bj").applyInArrow(_cross(floor, likeliest), "a long, b long")
+    dealt = dealt.select("place", "hash", "id", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).join(named.select("id", "sig"), "id").join(sets, "id")
+    return dealt.groupBy("place", "hash", "bi", "bj").applyInArrow(_cross(floor, percent), "a long, b long")
