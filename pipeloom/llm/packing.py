@@ -14,6 +14,7 @@ and empty texts have the end token alone; repeated rows are packed separately; r
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,8 @@ from pipeloom.shared import staged
 CLASSES = 128
 REMEMBERED = 400_000
 LONG_WORD = 64
+#: Letters, then punctuation other than apostrophes: two pre-tokens, whose ids don't depend on each other.
+_ENDED = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*|]+)\Z")
 BROADCAST_ROWS = 1_000_000
 BLOCK = 4096
 
@@ -43,10 +46,29 @@ class _Ids(dict):
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("identifiers are kept in 16 bits")
         self.older: dict[str, bytes] = {}
+        self.ends = np.zeros(1 << 16, bool)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
 
     def of(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def many(self, words: list[str]) -> dict[str, bytes]:
+        """The same for runs of letters below U+0100, which each are one pre-token: joined by spaces and parted after word ends."""
+        out: dict[str, bytes] = {}
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
+                out.update(zip(some, self.of(some)))
+                continue
+            packed, at = ids.tobytes(), 0
+            for w, cut in zip(some, (2 * cuts).tolist()):
+                out[w] = packed[at:cut]
+                at = cut
+        return out
+
     def learn(self, words: list[str]) -> None:
         """Encodes at once what is new among words."""
         if len(self) >= REMEMBERED:
@@ -57,7 +79,15 @@ class _Ids(dict):
         known = [w for w in new if w in older]
         self.update((w, older[w]) for w in known)
         new = [w for w in new if w not in older]
-        self.update(zip(new, self.of(new)))
+        ended = {w: m for w in new if (m := _ENDED.match(w)) and max(m[1]) < "\u0100"}
+        letters = {w for w in new if w.isalpha() and max(w) < "\u0100"}
+        letters |= {m[1] for m in ended.values() if m[1] not in self}
+        self.update(self.many(list(letters)))
+        ends = list({m[2] for m in ended.values()} - self.keys())
+        self.update(zip(ends, self.of(ends)))
+        self.update((w, self[m[1]] + self[m[2]]) for w, m in ended.items())
+        rest = [w for w in new if w not in self]
+        self.update(zip(rest, self.of(rest)))
 
     def __missing__(self, word: str) -> bytes:
         return self.of([word])[0]
