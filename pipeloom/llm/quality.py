@@ -97,7 +97,8 @@ class FactorMachine:
     def __init__(self, features: int, factors: int = FACTORS, seed: int = 3) -> None:
         self.w0 = np.float32(0)
         self.w = np.zeros(features, np.float32)
-        self.v = np.random.default_rng(seed).normal(0, 0.02, (features, factors)).astype(np.float32)
+        self.v = np.zeros((features, factors), np.float32)
+        self.seed = seed
 
     def margins(self, first: np.ndarray, feature: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Linear in the number of features, by the sum-of-squares identity. Every row has a feature."""
@@ -106,13 +107,13 @@ class FactorMachine:
         squares = np.add.reduceat((vx * vx).sum(axis=1), first[:-1])
         return self.w0 + np.add.reduceat(self.w[feature] * value, first[:-1]) + 0.5 * ((sums * sums).sum(axis=1) - squares)
 
-    def fit(self, first: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 60, rate: float = 0.05, decay: float = 2e-4) -> None:
+    def fit(self, first: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 100, rate: float = 0.05, decay: float = 2e-4) -> None:
         """Adam on the whole weighted sample, over the features that it has."""
         kinds, at = np.unique(feature, return_inverse=True)
         order = np.argsort(at, kind="stable")
         begin = np.searchsorted(at[order], np.arange(len(kinds)))
         row = np.repeat(np.arange(len(label)), np.diff(first))
-        p = np.concatenate((self.w[kinds, None], self.v[kinds]), axis=1)
+        p = np.concatenate((self.w[kinds, None], np.random.default_rng(self.seed).normal(0, 0.02, (len(kinds), self.v.shape[1]))), axis=1).astype(np.float32)
         m, s, m0, s0 = np.zeros_like(p), np.zeros_like(p), 0.0, 0.0
         weight = weight / weight.sum()
         for step in range(1, rounds + 1):
@@ -128,9 +129,6 @@ class FactorMachine:
             m0, s0 = 0.9 * m0 + 0.1 * g.sum(), 0.99 * s0 + 0.01 * float(g.sum()) ** 2
             self.w0 = np.float32(self.w0 - rate * (m0 / (1 - 0.9**step)) / ((s0 / (1 - 0.99**step)) ** 0.5 + 1e-6))
         self.w[kinds], self.v[kinds] = p[:, 0], p[:, 1:]
-        unseen = np.ones(len(self.w), bool)
-        unseen[kinds] = False
-        self.v[unseen] = 0
 
 
 def _numbers(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
