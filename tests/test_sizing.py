@@ -64,3 +64,16 @@ def test_spatial(spark):
     assert {tuple(r) for r in crossings(routes).collect()} == {(1, 3), (2, 3)}
     spans = spark.createDataFrame([(1, 0.0, 0.5, 1.6), (1, 0.25, 0.75, 1.75)], "r long, lo double, hi double, k double")
     assert sorted((r["at"], r.stop, r.k) for r in elementary_pieces(spans, "r").collect()) == [(0.0, 0.25, 1.6), (0.25, 0.5, 1.75), (0.5, 0.75, 1.75)]
+
+
+def test_projection(spark):
+    from pipeloom.functions.projection import is_lon_lat, to_lon_lat, to_utm
+
+    p = spark.createDataFrame([(39.0, 0.0), (37.6, 55.75), (36.1, 57.2), (41.9, -10.0)], "lon double, lat double")
+    east, north = to_utm(F.col("lon"), F.col("lat"))
+    both = p.withColumn("e", east).withColumn("n", north)
+    assert both.first().e == pytest.approx(500000, abs=1e-6) and both.first().n == pytest.approx(0, abs=1e-6)
+    lon, lat = to_lon_lat(F.col("e"), F.col("n"))
+    for r in both.withColumn("lon2", lon).withColumn("lat2", lat).collect():
+        assert r.lon2 == pytest.approx(r.lon, abs=1e-9) and r.lat2 == pytest.approx(r.lat, abs=1e-9)
+    assert [r[0] for r in spark.sql("select 55.7 a, 37.6 b union all select 10.0, 95.0").select(is_lon_lat(F.col("a"), F.col("b"))).collect()] == [True, False]
