@@ -46,6 +46,18 @@ class _Ids(dict):
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("identifiers are kept in 16 bits")
         self.older: dict[str, bytes] = {}
+        capitals = "".join(map(chr, [*range(65, 91), *range(192, 215), *range(216, 223)]))
+        self.lower = self.tokenizer.encode(capitals, add_special_tokens=False).ids == self.tokenizer.encode(capitals.lower(), add_special_tokens=False).ids
+        # for words of lower-case letters alone nothing is left to normalise or to part but spaces
+        from tokenizers import normalizers, pre_tokenizers
+
+        self.letters = Tokenizer.from_file(vocabulary)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = "".join(map(chr, [*range(97, 123), *range(223, 247), *range(248, 256)]))
+        probe = " ".join(probe[i:] + probe[:i] for i in range(len(probe)))
+        if self.letters.encode(probe, add_special_tokens=False).ids != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+            self.letters = self.tokenizer
         self.ends = np.zeros(1 << 16, bool)
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
@@ -54,11 +66,11 @@ class _Ids(dict):
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def many(self, words: list[str]) -> dict[str, bytes]:
-        """The same for runs of letters below U+0100, which each are one pre-token: joined by spaces and parted after word ends."""
+        """The same for lower-case runs of letters below U+0100, which each are one pre-token: joined by spaces and parted after word ends."""
         out: dict[str, bytes] = {}
         for i in range(0, len(words), 2000):
             some = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            ids = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some):
                 out.update(zip(some, self.of(some)))
@@ -79,8 +91,8 @@ class _Ids(dict):
         known = [w for w in new if w in older]
         self.update((w, older[w]) for w in known)
         new = [w for w in new if w not in older]
-        ended = {w: m for w in new if (m := _ENDED.match(w)) and max(m[1]) < "\u0100"}
-        letters = {w for w in new if w.isalpha() and max(w) < "\u0100"}
+        ended = {w: m for w in new if (m := _ENDED.match(w)) and m[1].islower() and m[1].isalpha() and max(m[1]) < "\u0100"}
+        letters = {w for w in new if w.isalpha() and w.islower() and max(w) < "\u0100"}
         letters |= {m[1] for m in ended.values() if m[1] not in self}
         self.update(self.many(list(letters)))
         ends = list({m[2] for m in ended.values()} - self.keys())
@@ -93,6 +105,18 @@ class _Ids(dict):
         return self.of([word])[0]
 
 
+def _lower(text: str | None) -> str:
+    """Texts below U+0100 in lower case, for vocabularies that have no other; special strings are told by their case."""
+    text = text or ""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 @lru_cache(maxsize=4)
 def _ids(vocabulary: str) -> _Ids:
     return _Ids(vocabulary)
@@ -103,9 +127,9 @@ def _encoded(vocabulary: str, end: int, length: int):
         known = _ids(vocabulary)
         tail = np.array([end], "<u2").tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                split = [(t or "").replace("\n", " ").split(" ") for t in part.column(1).to_pylist()]
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                split = [(_lower(t) if known.lower else t or "").replace("\n", " ").split(" ") for t in part.column(1).to_pylist()]
                 known.learn([w for words in split for w in words])
                 packed = [b"".join(map(known.__getitem__, words)) + tail for words in split]
                 total, crcs, rest = [], [], []
