@@ -29,8 +29,9 @@ from pipeloom.shared import staged
 CLASSES = 128
 REMEMBERED = 400_000
 LONG_WORD = 64
-#: Letters, then punctuation other than apostrophes: two pre-tokens, whose ids don't depend on each other.
-_ENDED = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*|]+)\Z")
+#: Lower-case letters below U+0100 that are letters to every tokenizer, and punctuation other than apostrophes after
+#: them: pre-tokens whose ids don't depend on each other.
+_SHAPE = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*|]*)\\Z")
 BROADCAST_ROWS = 1_000_000
 BLOCK = 4096
 
@@ -81,24 +82,33 @@ class _Ids(dict):
                 at = cut
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes at once what is new among words."""
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encodes at once what is new among the words of texts."""
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
-        new = [w for w in set(words).difference(self) if len(w) <= LONG_WORD]
-        older = self.older
-        known = [w for w in new if w in older]
-        self.update((w, older[w]) for w in known)
-        new = [w for w in new if w not in older]
-        ended = {w: m for w in new if (m := _ENDED.match(w)) and m[1].islower() and m[1].isalpha() and max(m[1]) < "\u0100"}
-        letters = {w for w in new if w.isalpha() and w.islower() and max(w) < "\u0100"}
-        letters |= {m[1] for m in ended.values() if m[1] not in self}
+        new = set().union(*texts)
+        new.difference_update(self)
+        if self.older:
+            known = new & self.older.keys()
+            self.update(zip(known, map(self.older.__getitem__, known)))
+            new -= known
+        letters, ended, rest, shape = set(), [], [], _SHAPE.match
+        for w in new:
+            m = shape(w) if len(w) <= LONG_WORD else None
+            if m is None:
+                if len(w) <= LONG_WORD:
+                    rest.append(w)
+                continue
+            a, b = m.groups()
+            letters.add(a)
+            if b:
+                ended.append((w, a, b))
+        letters.difference_update(self)
         self.update(self.many(list(letters)))
-        ends = list({m[2] for m in ended.values()} - self.keys())
-        self.update(zip(ends, self.of(ends)))
-        self.update((w, self[m[1]] + self[m[2]]) for w, m in ended.items())
-        rest = [w for w in new if w not in self]
+        ends = {b for _, _, b in ended}
+        ends = dict(zip(ends, self.of(list(ends))))
+        self.update([(w, self[a] + ends[b]) for w, a, b in ended])
         self.update(zip(rest, self.of(rest)))
 
     def __missing__(self, word: str) -> bytes:
@@ -130,7 +140,7 @@ def _encoded(vocabulary: str, end: int, length: int):
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
                 split = [(_lower(t) if known.lower else t or "").replace("\n", " ").split(" ") for t in part.column(1).to_pylist()]
-                known.learn([w for words in split for w in words])
+                known.learn(split)
                 packed = [b"".join(map(known.__getitem__, words)) + tail for words in split]
                 total, crcs, rest = [], [], []
                 for p in packed:
