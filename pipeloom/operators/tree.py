@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pipeloom.shared import staged
 
 
+def _kept(state: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """The staged state, and how many of its pointers lead on, counted while it is written."""
+    seen = Observation()
+    written = staged(state.observe(seen, F.count("up").alias("open")), label)
+    return written, seen.get["open"]
+
+
 def _rounds(nodes: DataFrame) -> int:
     return max(1, nodes.count().bit_length())
 
@@ -18,27 +25,27 @@ def roll_up(tree: DataFrame, value: str, out: str, kind: str = "decimal(18,2)",
     With S_k the aggregate over descendants nearer than 2^k and the 2^k-th ancestor as pointer, S_(k+1) adds the S_k of
     the nodes that point here. Nodes on or below a cycle raise an error after as many rounds as nodes can need.
     """
-    state = staged(tree.select(F.col(node).alias("n"), F.col(parent).alias("up"), F.col(value).cast(kind).alias("s")), "rollup")
+    state, going = _kept(tree.select(F.col(node).alias("n"), F.col(parent).alias("up"), F.col(value).cast(kind).alias("s")), "rollup")
     join_two = (lambda a, b: (a + b).cast(kind)) if how is F.sum else F.greatest
     for _ in range(_rounds(tree) + 1):
-        if state.filter("up is not null").isEmpty():
+        if not going:
             return state.select(F.col("n").alias(node), F.col("s").alias(out))
         gift = state.filter("up is not null").groupBy("up").agg(how("s").cast(kind).alias("gift")).withColumnRenamed("up", "n")
         hop = state.select(F.col("n").alias("up"), F.col("up").alias("up2"))
         state = state.join(gift, "n", "left").join(hop, "up", "left").select("n", F.col("up2").alias("up"), F.when(F.col("gift").isNull(), F.col("s")).otherwise(join_two(F.col("s"), F.col("gift"))).alias("s"))
-        state = staged(state, "rollup")
+        state, going = _kept(state, "rollup")
     raise ValueError("the parents have a cycle")
 
 
 def walk_up(tree: DataFrame, step: Column, out: str, kind: str, stop: Column | None = None, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
     """(node, out, head): the sum of step from each node up to its root, or to the first node where stop holds (inclusive)."""
     ends = F.lit(False) if stop is None else F.coalesce(stop, F.lit(False))
-    state = staged(tree.select(F.col(node).alias("n"), F.when(ends, None).otherwise(F.col(parent)).alias("up"), step.cast(kind).alias("s")), "walk").withColumn("head", F.col("n"))
+    state, going = _kept(tree.select(F.col(node).alias("n"), F.when(ends, None).otherwise(F.col(parent)).alias("up"), step.cast(kind).alias("s"), F.col(node).alias("head")), "walk")
     for _ in range(_rounds(tree) + 1):
-        if state.filter("up is not null").isEmpty():
+        if not going:
             return state.select(F.col("n").alias(node), F.col("s").alias(out), "head")
         hop = state.select(F.col("n").alias("up"), F.col("up").alias("up2"), F.col("s").alias("s2"), F.col("head").alias("head2"))
-        state = staged(state.join(hop, "up", "left").select("n", F.col("up2").alias("up"), (F.col("s") + F.coalesce("s2", F.lit(0))).cast(kind).alias("s"), F.coalesce("head2", "head").alias("head")), "walk")
+        state, going = _kept(state.join(hop, "up", "left").select("n", F.col("up2").alias("up"), (F.col("s") + F.coalesce("s2", F.lit(0))).cast(kind).alias("s"), F.coalesce("head2", "head").alias("head")), "walk")
     raise ValueError("the parents have a cycle")
 
 
