@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pipeloom.shared import staged
 
 CLASSES = 128
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 LONG_WORD = 64
 #: Lower-case letters below U+0100 that are letters to every tokenizer, and punctuation other than apostrophes after
 #: them: pre-tokens whose ids don't depend on each other.
@@ -136,9 +136,10 @@ def _encoded(vocabulary: str, end: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _ids(vocabulary)
         tail = np.array([end], "<u2").tobytes()
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this process have left
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, 400):
+                part = batch.slice(i, 400)
                 split = [(_lower(t) if known.lower else t or "").replace("\n", " ").split(" ") for t in part.column(1).to_pylist()]
                 known.learn(split)
                 packed = [b"".join(map(known.__getitem__, words)) + tail for words in split]

@@ -75,6 +75,7 @@ class Chunk:
 
 def chunks(text: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES, fold: np.ndarray | None = None) -> Iterator[Chunk]:
     """Rows of a string column in pieces of about `most` bytes, never parting a row; nulls count as empty. fold: replaces each byte."""
+    pa.default_memory_pool().release_unused()  # of the batches before
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
     text = pc.fill_null(text, "" if pa.types.is_string(text.type) or pa.types.is_large_string(text.type) else b"")
