@@ -11,7 +11,7 @@ from pipeloom.operators.tree import bfs, on_cycle
 from pipeloom.shared import load
 from pipeloom.sources.views import sql_views, view
 
-SNAP, JOIN_RADIUS = 10.0, 4.0
+SNAP, NEIGHBOUR, JOIN_RADIUS = 10.0, 30.0, 16.0
 
 
 def snap_nearest_chamber(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,14 +25,14 @@ def _others(spark: SparkSession, sf_dir: str, radius: float) -> DataFrame:
 
 
 def snap_grid_self(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(_others(spark, sf_dir, SNAP), "oks_id", "other_id").select("oks_id", "other_id", F.round("d2", 6).alias("d2"))
+    return nearest(_others(spark, sf_dir, NEIGHBOUR), "oks_id", "other_id").select("oks_id", "other_id", F.round("d2", 6).alias("d2"))
 
 
 def snap_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chamber in reach before another connection point in reach, else nothing."""
+    """A chamber in reach before another connection point in reach, else nothing (-1)."""
     out = view(spark, sf_dir, "oks").select("oks_id").join(snap_nearest_chamber(spark, sf_dir).select("oks_id", "chamber_id"), "oks_id", "left").join(snap_grid_self(spark, sf_dir).select("oks_id", "other_id"), "oks_id", "left")
     kind = F.when(F.col("chamber_id").isNotNull(), "chamber").when(F.col("other_id").isNotNull(), "point").otherwise("none")
-    return out.select("oks_id", kind.alias("snapped_to"), F.coalesce("chamber_id", "other_id").alias("target_id"))
+    return out.select("oks_id", kind.alias("snapped_to"), F.coalesce("chamber_id", "other_id", F.lit(-1)).cast("bigint").alias("target_id"))
 
 
 def chamber_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,17 +128,17 @@ def weighted_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proper crossings among the tree's edges that are no longer than 60 m."""
+    """Proper crossings among the tree's edges that are no longer than 200 m."""
     tree = view(spark, sf_dir, "tree").select("node_id", "parent_id", "x", "y")
     up = tree.select(F.col("node_id").alias("parent_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
     edges = tree.join(up, "parent_id").select(F.col("node_id").alias("route_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
-    return crossings(edges.filter("(ax - bx) * (ax - bx) + (ay - by) * (ay - by) <= 3600"), 60.0)
+    return crossings(edges.filter("(ax - bx) * (ax - bx) + (ay - by) * (ay - by) <= 40000"), 60.0)
 
 
 _P = f"with {sql_views('oks', 'chamber', 'tree', 'restriction')}"
 _D2 = "(o.x - c.x) * (o.x - c.x) + (o.y - c.y) * (o.y - c.y)"
 _NEAR = f"near_c as (select oks_id, chamber_id, d2 from (select oks_id, chamber_id, {_D2} as d2, row_number() over (partition by oks_id order by {_D2}, chamber_id) as r from oks o join chamber c on c.x between o.x - 10 and o.x + 10 and {_D2} <= 100) where r = 1)"
-_SELF = f"near_o as (select oks_id, other_id, d2 from (select o.oks_id, c.oks_id as other_id, {_D2} as d2, row_number() over (partition by o.oks_id order by {_D2}, c.oks_id) as r from oks o join oks c on c.oks_id <> o.oks_id and c.x between o.x - 10 and o.x + 10 and {_D2} <= 100) where r = 1)"
+_SELF = f"near_o as (select oks_id, other_id, d2 from (select o.oks_id, c.oks_id as other_id, {_D2} as d2, row_number() over (partition by o.oks_id order by {_D2}, c.oks_id) as r from oks o join oks c on c.oks_id <> o.oks_id and c.x between o.x - 30 and o.x + 30 and {_D2} <= 900) where r = 1)"
 _DEGREE = "degree as (select chamber_id, greatest(used_ports, coalesce(edges, 0))::bigint as degree from chamber left join (select n, count(*) as edges from (select node_id as n from tree where parent_id is not null union all select parent_id from tree where parent_id is not null) group by n) on n = chamber_id)"
 _ROUTES = "routes as (select oks_id as route_id, o.x as ax, o.y as ay, c.x as bx, c.y as b_y from oks o join chamber c on c.chamber_id = o.oks_id % (select count(*) from chamber))"
 
@@ -162,12 +162,12 @@ _S = "(({o}.bx - {o}.ax) * ({p}y - {o}.ay) - ({o}.by - {o}.ay) * ({p}x - {o}.ax)
 QUERIES = {
     "snap_nearest_chamber": (snap_nearest_chamber, f"{_P}, {_NEAR} select oks_id, chamber_id, round(d2, 6) as d2 from near_c"),
     "snap_grid_self": (snap_grid_self, f"{_P}, {_SELF} select oks_id, other_id, round(d2, 6) as d2 from near_o"),
-    "snap_priority": (snap_priority, f"{_P}, {_NEAR}, {_SELF} select oks_id, case when chamber_id is not null then 'chamber' when other_id is not null then 'point' else 'none' end as snapped_to, coalesce(chamber_id, other_id) as target_id from oks left join near_c using (oks_id) left join near_o using (oks_id)"),
+    "snap_priority": (snap_priority, f"{_P}, {_NEAR}, {_SELF} select oks_id, case when chamber_id is not null then 'chamber' when other_id is not null then 'point' else 'none' end as snapped_to, coalesce(chamber_id, other_id, -1)::bigint as target_id from oks left join near_c using (oks_id) left join near_o using (oks_id)"),
     "chamber_degree": (chamber_degree, f"{_P}, {_DEGREE} select chamber_id, degree from degree"),
     "tie_in_candidates": (tie_in_candidates, f"{_P}, {_DEGREE} select oks_id, chamber_id, row_number() over (partition by oks_id order by {_D2}, chamber_id)::int as place from oks o join (chamber join degree using (chamber_id)) c on degree < 4 and {_D2} <= 900"),
     "bfs_depth": (bfs_depth, f"with recursive {sql_views('tree')}, b as (select node_id, 0 as depth from tree where parent_id is null union all select t.node_id, depth + 1 from b join tree t on t.parent_id = b.node_id) select node_id, depth from b"),
     "cycle_check": (cycle_check, f"with recursive {sql_views('tree')}, c as (select node_id, case when node_id = 1 then 13 else parent_id end as parent_id from tree), r as (select node_id from c where parent_id is null union all select c.node_id from r join c on c.parent_id = r.node_id) select node_id from c where node_id not in (select node_id from r)"),
-    "point_groups": (point_groups, f"with recursive {sql_views('oks')}, e as (select o.oks_id as u, c.oks_id as v from oks o join oks c on o.oks_id <> c.oks_id and c.x between o.x - 4 and o.x + 4 and {_D2} <= 16), r as (select oks_id as u, oks_id as v from oks union select r.u, e.v from r join e on e.u = r.v) select u as oks_id, min(v) as group_id from r group by u"),
+    "point_groups": (point_groups, f"with recursive {sql_views('oks')}, e as (select o.oks_id as u, c.oks_id as v from oks o join oks c on o.oks_id <> c.oks_id and c.x between o.x - 16 and o.x + 16 and {_D2} <= 256), r as (select oks_id as u, oks_id as v from oks union select r.u, e.v from r join e on e.u = r.v) select u as oks_id, min(v) as group_id from r group by u"),
     "tree_validity": (tree_validity, f"{_P} select node_id, 'unknown parent' as problem from tree where parent_id is not null and parent_id not in (select node_id from tree) union all select n, 'crowded' from (select node_id as n from tree where parent_id is not null union all select parent_id from tree where parent_id is not null) group by n having count(*) > 3"),
     "median_split": (median_split, f"{_P}, {_AREA}, box as (select area, max(x) - min(x) >= max(y) - min(y) as wide, count(*) as n from area group by area) select oks_id, area, case when row_number() over (partition by area order by case when wide then x else y end, oks_id) - 1 < n // 2 then 0 else 1 end as half from area join box using (area)"),
     "chunk_six": (chunk_six, "select c_custkey as oks_id, c_nationkey as area, ((row_number() over (partition by c_nationkey order by c_custkey) - 1) // 6)::bigint as chunk from customer"),
@@ -175,5 +175,5 @@ QUERIES = {
     "segment_blocked_box": (segment_blocked_box, f"{_P}, {_clipped('0.99', repr('park') + ', ' + ', '.join(map(repr, ('social_area', 'prohibited_site', 'water', 'railway'))))} select route_id, count(*) as n_zones, min(restriction_id) as first_zone from met where enter <= leave group by route_id"),
     "special_sections": (special_sections, f"{_P}, {_SPECIAL} select route_id, lo, hi, k from pieces"),
     "weighted_length": (weighted_length, f"{_P}, {_SPECIAL} select route_id, round(sqrt((ax - bx) * (ax - bx) + (ay - b_y) * (ay - b_y)) * (coalesce(extra, 0.0) + 1), 3) as weighted_m from routes left join (select route_id, sum((hi - lo) * (k - 1)) as extra from pieces group by 1) using (route_id)"),
-    "segment_crossings": (segment_crossings, f"{_P}, e as (select t.node_id as id, t.x as ax, t.y as ay, u.x as bx, u.y as by from tree t join tree u on u.node_id = t.parent_id where (t.x - u.x) * (t.x - u.x) + (t.y - u.y) * (t.y - u.y) <= 3600) select p.id as a, q.id as b from e p join e q on p.id < q.id and {_S.format(o='p', p='q.a')} * {_S.format(o='p', p='q.b')} < 0 and {_S.format(o='q', p='p.a')} * {_S.format(o='q', p='p.b')} < 0"),
+    "segment_crossings": (segment_crossings, f"{_P}, e as (select t.node_id as id, t.x as ax, t.y as ay, u.x as bx, u.y as by from tree t join tree u on u.node_id = t.parent_id where (t.x - u.x) * (t.x - u.x) + (t.y - u.y) * (t.y - u.y) <= 40000) select p.id as a, q.id as b from e p join e q on p.id < q.id and {_S.format(o='p', p='q.a')} * {_S.format(o='p', p='q.b')} < 0 and {_S.format(o='q', p='p.a')} * {_S.format(o='q', p='p.b')} < 0"),
 }
