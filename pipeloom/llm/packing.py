@@ -13,6 +13,7 @@ and empty texts have the end token alone; repeated rows are packed separately; r
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -84,6 +85,15 @@ class _Ids(dict):
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encodes at once what is new among the words of texts."""
+        running = gc.isenabled()
+        gc.disable()  # nothing here is in a cycle, and a collection would walk all words that are remembered
+        try:
+            self._learn(texts)
+        finally:
+            if running:
+                gc.enable()
+
+    def _learn(self, texts: list[list[str]]) -> None:
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
