@@ -1,19 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents and benchmark items are cut into passages of PASSAGE words, half overlapping. Passages are TF-IDF vectors over
-the benchmark's terms, with statistics of the whole corpus; a randomised SVD of the corpus' passages (one pass: a
-random sketch of the terms' Gram matrix, solved as a Nystroem approximation) gives the latent space. Passages whose
-latent cosine to a benchmark passage and whose share of its weight, in the latent space and then by its own terms, are
-high enough are candidates. A candidate is
+Documents and benchmark items are cut into passages of PASSAGE words, half overlapping. A document's passage is searched
+with HALF words on either side, so that an item lies whole in some region. Regions are TF-IDF vectors over the
+benchmark's terms, with statistics of the whole corpus; a randomised SVD of the corpus' regions (one pass: a
+random sketch of the terms' Gram matrix, solved as a Nystroem approximation) gives the latent space. Regions that hold
+at least LATENT of a benchmark passage's vector along its own direction there are candidates, if as many of the
+passage's words stand in the region as the subsequence needs; this second test loses nothing. A candidate is
 contaminated if the longest common subsequence of words covers `ratio` of the benchmark passage, or at least `weak` of
 it while the item's answer (its last sentence, at most ANSWER words) stands in the document word for word. Benchmark
 passages of fewer than SHORT words must stand there whole, in a row.
 
-Words are lower-cased and free of ASCII punctuation. Each benchmark passage has its RAREST terms that the corpus uses
-least; of these the vectors are made, weighted by the cube of their inverse frequency, so that what tells passages
-apart outweighs what a language shares. The benchmark is taken in blocks of ITEM_BLOCK items, each broadcast to one run
-over all documents. Null and empty texts and items match nothing; rows with a null id are not reported; documents that
-share an id are reported together; equal items are each reported.
+Words are lower-cased and free of ASCII punctuation. All terms of the benchmark that the corpus holds make the vectors,
+weighted by the root of their inverse frequency and counted once in half a passage; terms that the corpus lacks are
+left out, but count in the length of their passage. The benchmark is taken in blocks of ITEM_BLOCK items, each broadcast
+to one run over all documents. Null and empty texts and items match nothing; rows with a null id are not reported;
+documents that share an id are reported together; equal items are each reported.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from pipeloom.shared import staged
 
 PASSAGE, HALF = 64, 32
 FACTORS, EXTRA = 96, 16
-RAREST = 8
 ITEM_BLOCK = 5000
 SHORT, ANSWER = 8, 12
-COSINE, SHARE = 0.45, 0.35
+LATENT = 0.05
+PAIRS = 1 << 16
 _FOLD = LOWER.copy()
 _FOLD[[b for b in range(33, 127) if not chr(b).isalnum()]] = 32
 _FLAG_BITS = 18
@@ -95,21 +96,28 @@ def _flags(terms: np.ndarray) -> np.ndarray:
 
 
 def _weighted(bench: Bench, seen: np.ndarray, total: int) -> None:
-    """Keeps each passage's rarest terms, with their weights."""
-    kept = np.unique(np.concatenate([k[np.lexsort((k, seen[k]))][:RAREST] for k in (np.unique(bench.lookup(w)[1]) for w in bench.words)]))
+    """Keeps the terms that the corpus holds, with their weights."""
+    kept = np.flatnonzero(seen)
     bench.terms, bench.flags = bench.terms[kept], _flags(bench.terms[kept])
-    bench.weights = (np.maximum(np.log((total + 1000) / (seen[kept] + 1)), 0.3) ** 3).astype(np.float32)
+    bench.weights = np.sqrt(np.maximum(np.log((total + 1000) / (seen[kept] + 1)), 0.3)).astype(np.float32)
 
 
-def _blocks(c: Chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The half passage of each word in `at`, numbered through the chunk; of each row the first half passage, and whether one ends its row."""
-    sizes = np.diff(c.first)
-    halves = np.maximum(1, -(-sizes // HALF))
-    base = np.concatenate(([0], np.cumsum(halves)))
+def _halves(bench: Bench, c: Chunk) -> tuple[np.ndarray, ...]:
+    """The terms of each half passage, once each, and their half passages, numbered through the chunk; each half passage's row, and each row's first one."""
+    at, k = bench.lookup(c.hashes())
+    base = np.concatenate(([0], np.cumsum(np.maximum(1, -(-np.diff(c.first) // HALF)))))
     row = np.searchsorted(c.first, at, "right") - 1
-    ends = np.zeros(base[-1], bool)
-    ends[base[1:] - 1] = True
-    return base[row] + (at - c.first[row]) // HALF, base, ends
+    pairs = np.unique((base[row] + (at - c.first[row]) // HALF) * len(bench.terms) + k)
+    return pairs % len(bench.terms), pairs // len(bench.terms), np.repeat(np.arange(len(base) - 1), np.diff(base)), base
+
+
+def _regions(x: np.ndarray, row: np.ndarray, shifts: tuple[int, ...] = (-1, 1, 2)) -> np.ndarray:
+    """Sums (or unions) of x over each half passage and those of its row at the shifts from it."""
+    out = x.copy()
+    for d in shifts:
+        a, b = slice(max(0, -d), max(0, len(x) - max(0, d))), slice(max(0, d), max(0, len(x) - max(0, -d)))
+        out[a] += x[b] * (row[a] == row[b])[:, None]
+    return out
 
 
 def _census(bench: Bench):
@@ -126,33 +134,27 @@ def _census(bench: Bench):
     return run
 
 
-def _vectors(bench: Bench, c: Chunk, basis: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sums of the weighted rows of basis for each half passage that has terms, and for each passage from one on."""
-    at, k = bench.lookup(c.hashes())
-    half, base, ends = _blocks(c, at)
-    some, begin = np.unique(half, return_index=True)
-    part = np.add.reduceat(basis[k] * bench.weights[k, None], begin, axis=0) if len(at) else np.zeros((0, basis.shape[1]), np.float32)
-    full = np.zeros((len(ends) + 1, basis.shape[1]), np.float32)
-    full[some] = part
-    passages = np.unique(np.concatenate((some, some[~ends[np.maximum(some - 1, 0)] & (some > 0)] - 1)))
-    whole = full[passages] + np.where(ends[passages], 0, 1)[:, None].astype(np.float32) * full[passages + 1]
-    return k, half, passages, whole, base, ends
+def _summed(bench: Bench, k: np.ndarray, half: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
+    """Sums of the weighted rows of basis over the terms of each half passage."""
+    out = np.zeros((n, basis.shape[1]), np.float32)
+    if len(k):
+        some, begin = np.unique(half, return_index=True)
+        out[some] = np.add.reduceat((basis * bench.weights[:, None]).astype(np.float32)[k], begin, axis=0)
+    return out
 
 
 def _sketch(bench: Bench, random: np.ndarray):
-    """Partial sums of (A^T A random) over passages, by term."""
+    """Partial sums of (A^T A random) over regions, by term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((len(bench.terms), random.shape[1]), np.float64)
         for batch in batches:
             for c in _folded(batch.column(0)):
-                k, half, passages, whole, _, ends = _vectors(bench, c, random)
+                k, half, row, _ = _halves(bench, c)
                 if not len(k):
                     continue
-                full = np.zeros((len(ends) + 1, random.shape[1]), np.float32)
-                full[passages] = whole
-                before = np.maximum(half - 1, 0)
-                each = full[half] + (~ends[before] & (half > 0))[:, None] * full[before]
+                whole = _regions(_summed(bench, k, half, len(row), random), row)
+                each = _regions(whole, row, (1, -1, -2))[half]
                 order = np.argsort(k, kind="stable")
                 kinds, begin = np.unique(k[order], return_index=True)
                 out[kinds] += np.add.reduceat(each[order], begin, axis=0) * bench.weights[kinds, None]
@@ -205,55 +207,57 @@ def _stands(part: np.ndarray, whole: np.ndarray) -> bool:
 
 def _search(bench: Bench, basis: np.ndarray, ratio: float, weak: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        goal = np.stack([(basis[k] * bench.weights[k, None]).sum(axis=0) for k in (bench.lookup(w)[1] for w in bench.words)])
-        size = np.linalg.norm(goal, axis=1)
         n_terms = len(bench.terms)
-        own = np.full((len(goal), RAREST), n_terms)
+        goal = np.stack([(basis[k] * bench.weights[k, None]).sum(axis=0) for k in (np.unique(bench.lookup(w)[1]) for w in bench.words)])
+        size = np.linalg.norm(goal, axis=1)
+        long = np.array([len(w) for w in bench.words])
+        need = np.where(long < SHORT, long, np.ceil(min(ratio, weak) * long - 1e-9)).astype(np.int64)
+        own = np.full((len(goal), long.max()), n_terms, np.int64)  # the terms of each passage's words
         for p, w in enumerate(bench.words):
-            k = np.unique(bench.lookup(w)[1])
-            own[p, : min(len(k), RAREST)] = k[np.lexsort((k, -bench.weights[k]))][:RAREST]
-        weight = np.append(bench.weights, 0)[own]
-        weight /= np.maximum(weight.sum(axis=1), 1e-12)[:, None]
+            k = bench.lookup(w)[1]
+            own[p, : len(k)] = k
         step = max(16, (1 << 23) // (n_terms + 1))
         unit = (goal / np.maximum(size, 1e-12)[:, None]).T.astype(np.float32)
         for batch in batches:
-            docs, items, starts, covers = [], [], [], []
+            docs, items, starts, covers, helds = [], [], [], [], []
             for c in _folded(batch.column(1)):
                 h = c.hashes()
-                k, half, passages, whole, base, ends = _vectors(bench, c, basis)
-                for s in range(0, len(passages), step):
-                    x, at_half = whole[s : s + step], passages[s : s + step]
-                    along = x @ unit
-                    norm = np.linalg.norm(x, axis=1)[:, None]
-                    near, goals = np.nonzero((along >= COSINE * norm) & (along >= SHARE * size) & (norm > 0) & (size > 0))
+                k, half, row_of, base = _halves(bench, c)
+                whole = _regions(_summed(bench, k, half, len(row_of), basis), row_of)
+                for s in range(0, len(row_of), step):
+                    near, goals = np.nonzero(whole[s : s + step] @ unit >= LATENT * size)
                     if not len(near):
                         continue
-                    there = np.zeros((len(x), n_terms + 1), bool)  # which terms each passage has
-                    a, b = np.searchsorted(half, (at_half[0], at_half[-1] + 2))
-                    for back in (0, 1):
-                        i = np.searchsorted(at_half, half[a:b] - back)
-                        of = np.minimum(i, len(at_half) - 1)
-                        mine = (at_half[of] == half[a:b] - back) & (i < len(at_half)) & ((back == 0) | ~ends[at_half[of]])
-                        there[of[mine], k[a:b][mine]] = True
-                    enough = (there[near[:, None], own[goals]] * weight[goals]).sum(axis=1) >= SHARE
-                    for i, p in zip(near[enough].tolist(), goals[enough].tolist()):
-                        row = int(np.searchsorted(base, passages[s + i], "right")) - 1
-                        at = int(passages[s + i] - base[row]) * HALF
-                        mine = h[c.first[row] : c.first[row + 1]]
-                        region = mine[max(0, at - HALF) : at + PASSAGE + HALF]
-                        words = bench.words[p]
-                        if len(words) < SHORT:
-                            share = float(_stands(words, region))
-                        else:
-                            share = _lcs(words, region) / len(words)
-                            if share < ratio and not (share >= weak and _stands(bench.answers[p], mine[max(0, at - PASSAGE) : at + 2 * PASSAGE])):
-                                continue
-                        if share > 0:
-                            docs.append(c.rows.start + row)
-                            items.append(int(bench.items[p]))
-                            starts.append(at)
-                            covers.append(share)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(items, pa.int64()), pa.array(starts, pa.int64()), pa.array(covers, pa.float64())], names=["doc_id", "item_id", "at_word", "cover"])
+                    first, stop = max(0, s - 1), min(len(row_of), s + step + 2)
+                    there = np.zeros((stop - first, n_terms + 1), bool)  # which terms each region has
+                    a, b = np.searchsorted(half, (first, stop))
+                    there[half[a:b] - first, k[a:b]] = True
+                    there = _regions(there, row_of[first:stop])[s - first :].ravel()
+                    for t in range(0, len(near), PAIRS):
+                        i, p = near[t : t + PAIRS], goals[t : t + PAIRS]
+                        stand = there.take(own[p] + i[:, None] * (n_terms + 1)).sum(axis=1)
+                        for i, p, n in zip(*(x[stand >= need[p]].tolist() for x in (i, p, stand))):
+                            row = int(row_of[s + i])
+                            at = int(s + i - base[row]) * HALF
+                            mine = h[c.first[row] : c.first[row + 1]]
+                            region = mine[max(0, at - HALF) : at + PASSAGE + HALF]
+                            words = bench.words[p]
+                            if len(words) < SHORT:
+                                share = float(_stands(words, region))
+                            else:
+                                answered = None
+                                if n < ratio * len(words) and not (answered := _stands(bench.answers[p], mine[max(0, at - PASSAGE) : at + 2 * PASSAGE])):
+                                    continue
+                                share = _lcs(words, region) / len(words)
+                                if share < ratio and not (share >= weak and (answered or _stands(bench.answers[p], mine[max(0, at - PASSAGE) : at + 2 * PASSAGE]))):
+                                    continue
+                            if share > 0:
+                                docs.append(c.rows.start + row)
+                                items.append(int(bench.items[p]))
+                                starts.append(at)
+                                covers.append(share)
+                                helds.append(_lcs(words, mine[at : at + PASSAGE]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(items, pa.int64()), pa.array(starts, pa.int64()), pa.array(covers, pa.float64()), pa.array(helds, pa.int64())], names=["doc_id", "item_id", "at_word", "cover", "held"])
 
     return run
 
@@ -265,7 +269,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.6
     asked = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).filter("item is not null and text is not null")
     n = asked.count()
     blocks = max(1, -(-n // item_block))
-    found = spark.createDataFrame([], "doc_id long, item_id long, at_word long, cover double")
+    found = spark.createDataFrame([], "doc_id long, item_id long, at_word long, cover double, held long")
     for block in range(blocks):
         part = asked.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else asked
         bench = _bench([(r.item, r.text) for r in part.orderBy("item", "text").toLocalIterator()])  # about item_block items
@@ -278,6 +282,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.6
                 total = r.n
             else:
                 seen[r.term] = r.n
+        if not seen.any():
+            continue
         _weighted(bench, seen, total)
         random = np.random.default_rng(11).normal(size=(len(bench.terms), FACTORS + EXTRA)).astype(np.float32)
         sums = rows.select("text").mapInArrow(_sketch(bench, random), "term long, sums binary").groupBy(F.floor(F.col("term") / 256)).applyInArrow(_added, "term long, sums binary")
@@ -285,7 +291,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.6
         for r in sums.toLocalIterator():
             sketch[r.term] = np.frombuffer(r.sums, np.float32)
         basis = _latent(sketch, random.astype(np.float64), FACTORS)
-        hits = rows.mapInArrow(_search(bench, basis, ratio, weak), "doc_id long, item_id long, at_word long, cover double")
+        hits = rows.mapInArrow(_search(bench, basis, ratio, weak), "doc_id long, item_id long, at_word long, cover double, held long")
         found = found.unionByName(hits)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("cover", (-F.col("at_word")).alias("before"))).alias("b"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("cover", "held", (-F.col("at_word")).alias("before"))).alias("b"))
     return staged(best.select("doc_id", "item_id", (-F.col("b.before")).alias("at_word"), F.col("b.cover").alias("cover")), "contaminated")

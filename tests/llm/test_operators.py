@@ -120,6 +120,26 @@ def test_decontamination(spark, nothing):
     assert find_contamination(table, bench.limit(0)).count() == 0 and find_contamination(nothing, bench).count() == 0
 
 
+def test_decontamination_of_paraphrases(spark):
+    """Items whose rarest words are replaced, by words that no text holds, are found as long as the subsequence is."""
+    r = random.Random(8)
+    common = WORDS[:120]
+    rare = iter(f"rare{i}" for i in range(10000))
+    items, docs = [], []
+    for i in range(60):
+        n, many = (64, 20) if i % 2 else (20, 6)
+        w = [r.choice(common) for _ in range(n)]
+        places = r.sample(range(n), many)
+        for p in places:
+            w[p] = next(rare)
+        items.append(" ".join(w))
+        docs.append(" ".join([r.choice(WORDS) for _ in range(r.randrange(200))] + [f"other{i}x{k}" if k in places else x for k, x in enumerate(w)] + [r.choice(WORDS) for _ in range(100)]))
+    docs += [" ".join(r.choice(WORDS) for _ in range(150)) for _ in range(60)]
+    got = find_contamination(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} >= {(i, i) for i in range(60)}
+    assert all(x.cover >= 0.65 for x in got)
+
+
 def test_token_counts(docs, nothing):
     from tokenizers import Tokenizer
 
