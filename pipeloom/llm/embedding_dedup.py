@@ -2,8 +2,9 @@
 
 Vectors of equal label are spread over cells of a few random projections each, in several tables, so that a pair at the
 cosine bound shares a cell in some table but for MISS of cases. In its cell a vector asks for those within a window
-around its own value on each of COUNTED further projections; windows on the first, in sorted order, give the partners,
-and a pair must collide on as many projections as a pair at the bound does but for MISS of cases. Such pairs are
+around its own value on each of COUNTED further projections. The first, in sorted order, gives the partners within
+REACH, which a pair at the bound exceeds in MISS of cases; of all projections, the first with the others, a pair must
+collide on as many as a pair at the bound does but for MISS of cases. Such pairs are
 verified by their cosine in double precision, each in the first table that brings it together.
 
 Copies (equal vectors of one label) are one node. Cells are cut into blocks, pairs of blocks are groups, and a group
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from pipeloom.shared import staged
 
 COUNTED, MISS = 24, 1e-7
 CELL_WIDTH, WINDOW = 8.0, 3.0  # in standard deviations of a projected difference at the bound
+REACH = NormalDist().inv_cdf(1 - MISS / 2)
 BLOCK = 2048
 
 
@@ -115,7 +118,7 @@ def _count(cosine: float, distance: float, need: int):
         cells = np.array(t.column("cells").to_pylist())[order]
         place, bi, bj = (t.column(c)[0].as_py() for c in ("place", "bi", "bj"))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        stop = np.searchsorted(spots[:, 0], spots[:, 0] + np.float32(WINDOW * 1.0001), "right")
+        stop = np.searchsorted(spots[:, 0], spots[:, 0] + np.float32(REACH * 1.0001), "right")
         for s in range(0, len(ids), 128):
             e = min(s + 128, len(ids))
             end = int(stop[e - 1])

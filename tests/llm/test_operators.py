@@ -291,6 +291,26 @@ def test_embedding_dedup(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embedding_dedup_beyond_the_window(spark):
+    """Two dense clusters whose pairs lie over three deviations apart on the first counted projection, and near on the others."""
+    from pipeloom.llm.embedding_dedup import COUNTED, REACH, WINDOW, _directions
+
+    r = np.random.default_rng(6)
+    first = _directions(16, COUNTED, 7)[:, 0]
+    along = first / np.linalg.norm(first)
+    x = r.normal(size=16)
+    x -= x @ along * along
+    x /= np.linalg.norm(x)
+    y = x * 0.982 + along * (1 - 0.982**2) ** 0.5
+    assert WINDOW < (y - x) @ first / 0.2 < REACH
+    v = np.concatenate([c + r.normal(size=(1500, 16)) * 1e-4 for c in (x, y)])
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = (u @ u.T >= 0.98).sum(axis=1) - 1
+    assert want.min() > 1500
+    got = {q.vec_id: q for q in near_vectors(spark.createDataFrame([(i, [float(q) for q in w], 0) for i, w in enumerate(v)], "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[i].n_links for i in range(len(v))] == want.tolist() and {q.component_id for q in got.values()} == {0}
+
+
 def test_digests(spark, sf_dir):
     from pipeloom.llm import queries
 
