@@ -1,8 +1,9 @@
 """Secret scans: fixed formats, and random strings by their token efficiency.
 
 Natural words and identifiers cost few tokens under a byte-pair vocabulary, random strings many: a run of token-like
-characters with fewer than `ratio` characters a token is reported as `random`, unless it is a known digest (hex of a
-digest's length), a UUID, a plain number, a word without digits, or lies over a span of a fixed format.
+characters with fewer than `ratio` characters a token is reported as `random`; of a run with more, each stretch of tokens
+that has fewer, widened to the separators around it where it keeps that ratio. Known digests (hex of a digest's length),
+UUIDs and spans of a fixed format are cut out of the runs first; what has no letter, or under LEAST characters, is left.
 
 Null and empty texts have no spans; whole texts are scanned in time linear in their length.
 """
@@ -27,9 +28,8 @@ _WORD = re.compile(r"p(?:assword|asswd)|secret|token|api_?key", re.IGNORECASE |
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
-_DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.IGNORECASE)
-_UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.IGNORECASE)
-_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})(?![A-Za-z0-9])", re.IGNORECASE)
+_LETTER, _PART = re.compile("[A-Za-z]"), re.compile("[A-Za-z0-9+]+")
 
 
 @lru_cache(maxsize=2)
@@ -50,19 +50,58 @@ def _formats(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
 
 
+def _stretches(s: str, encoding, ratio: float) -> list[tuple[int, int]]:
+    """Where s has fewer than ratio characters a token: all of it, or stretches of tokens in it, in linear time."""
+    tokens = encoding.encode_ordinary(s)
+    if len(s) < ratio * len(tokens):
+        return [(0, len(s))]
+    peaks, at, begin, total, best, end = [], 0, 0, 0.0, 0.0, 0
+    for t in tokens:
+        n = len(encoding.decode_single_token_bytes(t))
+        if total <= 0:
+            if best > 0:
+                peaks.append((begin, end))
+            begin, total, best = at, 0.0, 0.0
+        total += ratio - n
+        at += n
+        if total > best:
+            best, end = total, at
+    if best > 0:
+        peaks.append((begin, end))
+    parts, found = [m.span() for m in _PART.finditer(s)], []
+    k = 0
+    for a, b in peaks:
+        while k < len(parts) and parts[k][1] <= a:
+            k += 1
+        last = k
+        while last + 1 < len(parts) and parts[last + 1][0] < b:
+            last += 1
+        wide = (min(a, parts[k][0]), max(b, parts[last][1])) if k < len(parts) and parts[k][0] < b else (a, b)
+        if found and wide[0] < found[-1][1]:
+            wide = (a, b)
+        for i, j in dict.fromkeys((wide, (a, b))):
+            if j - i >= LEAST and _LETTER.search(s, i, j) and j - i < ratio * len(encoding.encode_ordinary(s[i:j])):
+                found.append((i, j))
+                break
+    return found
+
+
 def _random(text: str, taken: list[tuple[int, int, int]], encoding, ratio: float) -> list[tuple[int, int, int]]:
     found = []
-    covered = bytearray(len(text)) if taken else b""
-    for a, _, b in taken:
-        covered[a:b] = b"\1" * (b - a)
+    spans = sorted((a, b) for a, _, b in taken)
+    k = 0
     for m in _RUN.finditer(text):
-        s = m.group()
-        if not _DIGIT.search(s) or not _LETTER.search(s) or _DIGEST.match(s) or _UUID.match(s):
-            continue
-        if 1 in covered[m.start() : m.end()]:
-            continue
-        if len(s) < ratio * len(encoding.encode_ordinary(s)):
-            found.append((m.start(), 3, m.end()))
+        while k < len(spans) and spans[k][1] <= m.start():
+            k += 1
+        cuts, j = [x.span() for x in _KNOWN.finditer(text, m.start(), m.end())], k
+        while j < len(spans) and spans[j][0] < m.end():
+            cuts.append(spans[j])
+            j += 1
+        at = m.start()
+        for a, b in [*sorted(cuts), (m.end(), m.end())]:
+            if a - at >= LEAST and _LETTER.search(text, at, a):
+                found += [(at + i, 3, at + j) for i, j in _stretches(text[at:a], encoding, ratio)]
+            at = max(at, b)
     return found
 
 
