@@ -1,7 +1,7 @@
 """Personal data: fixed formats, and spans tagged by a character-level bidirectional LSTM with CRF transitions.
 
-The tagger is trained in numpy on the driver from labelled spans: windows of at most `train_windows` spans of the
-fixed formats, chosen by hash from the whole corpus, each also in variants that the formats miss (a phone number
+The tagger is trained in numpy on the driver from labelled spans: at most `train_windows` unlike windows around spans of
+the fixed formats, chosen by hash from the whole corpus, a quarter of them for each kind as far as it goes, each also in variants that the formats miss (a phone number
 without its plus or with two zeros, a card number with dots, an address with spaces around the at sign). It labels
 every stretch of text around digits and at signs, the only places where its kinds can stand: overlapping windows are
 scored, each character's scores are blended by its distance to the window's edges, and one best path is decoded over
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from pipeloom.llm.spans import SPANS
 from pipeloom.llm.tagger import Tagger, symbols
+from pipeloom.shared import staged
 
 KINDS = ["email", "ip", "card", "phone"]
 ADDED = ["tagged_email", "tagged_ip", "tagged_card", "tagged_phone"]
@@ -83,7 +84,7 @@ def _around(text: str) -> list[tuple[int, int]]:
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A window for each span of the formats: its text, and the spans in it as kind, start, end."""
+    """A window for each span of the formats: its text, the spans in it as kind, start, end, and their kinds."""
     for batch in batches:
         texts, spans = [], []
         for text in batch.column(0).to_pylist():
@@ -94,7 +95,20 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if b - a <= WINDOW - 8:
                     texts.append(text[i : i + WINDOW])
                     spans.append([n for s in inside for n in s])
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.int64()))], names=["window", "inside"])
+        kinds = [sorted(set(s[::3])) for s in spans]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int64()))], names=["window", "inside", "kinds"])
+
+
+def _chosen(examples: DataFrame, most: int) -> list:
+    """At most `most` unlike windows, by hash: of each kind an equal share of those that hold it, the rest of any kind."""
+    unlike = staged(examples.groupBy("window").agg(F.min(F.struct("inside", "kinds")).alias("e")).select("window", "e.inside", "e.kinds"), "windows")
+    first = {k: unlike.filter(F.array_contains("kinds", k)).orderBy(F.xxhash64("window"), "window").limit(most // len(KINDS)).collect() for k in range(len(KINDS))}
+    rest = unlike.orderBy(F.xxhash64("window"), "window").limit(most).collect()
+    chosen = {w.window: w for k in first for w in first[k]}
+    for w in rest:
+        if len(chosen) < most:
+            chosen.setdefault(w.window, w)
+    return list(chosen.values())
 
 
 def _variant(text: str, spans: list[tuple[int, int, int]], r: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
@@ -172,9 +186,8 @@ def tag(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
 def find_pii(docs: DataFrame, train_windows: int = TRAIN_WINDOWS, least: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and its spans (kind, start, end, text), ordered by start and kind, for every row of docs."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    examples = rows.filter(F.col("text").rlike("[0-9@]")).select("text").mapInArrow(_examples, "window string, inside array<long>")
-    chosen = examples.orderBy(F.xxhash64("window"), "window").limit(train_windows).collect()
-    windows = [(w.window, list(zip(*[iter(w.inside)] * 3))) for w in chosen]
+    examples = rows.filter(F.col("text").rlike("[0-9@]")).select("text").mapInArrow(_examples, "window string, inside array<long>, kinds array<long>")
+    windows = [(w.window, list(zip(*[iter(w.inside)] * 3))) for w in _chosen(examples, train_windows)]
     model = train(windows) if windows else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

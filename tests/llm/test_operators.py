@@ -251,6 +251,19 @@ def test_pii(spark, nothing):
     assert find_pii(nothing).count() == 0
 
 
+def test_pii_training_windows(spark, monkeypatch):
+    """Copies and common kinds leave room for other windows and for a kind that is rare."""
+    from pipeloom.llm import pii
+
+    texts = ["copy of one text, call +1 (386) 555-0000 at once"] * 2000 + [f"{prose(8)} mail ann.{i}@mail.example.com {prose(5)}" for i in range(300)] + [f"host 10.0.0.{i} {prose(5)}" for i in range(3)]
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda windows: seen.extend(windows))
+    find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), train_windows=40)
+    kinds = [{k for k, *_ in spans} for _, spans in seen]
+    assert len(seen) == len({w for w, _ in seen}) == 40
+    assert sum(1 in k for k in kinds) == 3 and sum(3 in k for k in kinds) == 1
+
+
 def test_tagger_gradients():
     model = Tagger(3, embed=4, hidden=3)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
