@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pipeloom.shared import staged
@@ -29,8 +29,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     seen = None
     for _ in range(max_rounds):
-        edges = staged(_small_star(_large_star(edges)), "star")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        sums = Observation()  # taken while the round is written
+        edges = staged(_small_star(_large_star(edges)).observe(sums, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "star")
+        now = sums.get
         if now == seen:
             break
         seen = now

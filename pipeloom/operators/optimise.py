@@ -7,76 +7,9 @@ import math
 
 import pandas as pd
 
-from pipeloom.functions.reference import CHAMBER_BANDS, DIAMETERS, TIE_IN_COST
+from pipeloom.functions.reference import DIAMETERS, TIE_IN_COST
 
-DN = [d[0] for d in DIAMETERS]
-CAPACITY, LONGEST, PRICE = ([float(d[i]) for d in DIAMETERS] for i in (1, 2, 3))
-TOLERANCE = 0.01
-
-
-def _chamber(dn: int) -> int:
-    return next(cost for last, cost in CHAMBER_BANDS if dn <= last)
-
-
-def _front(options: list[tuple[float, float, tuple]]) -> list[tuple[float, float, tuple]]:
-    """Of (cost, run, choice) those that no other beats in both."""
-    kept: list[tuple[float, float, tuple]] = []
-    for cost, run, choice in sorted(options, key=lambda o: (o[0], o[1])):
-        if not kept or run < kept[-1][1] - 1e-9:
-            kept.append((cost, run, choice))
-    return kept
-
-
-def cheapest_diameters(nodes: list[int], parent: dict[int, int | None], length: dict[int, float], flow: dict[int, float]) -> dict[int, int] | None:
-    """The cheapest dn of each segment (a node's edge to its parent) of one tree, or None where no choice is allowed.
-
-    A dn covers the flow, does not shrink towards the root, and no run of one dn is longer than its limit. Costs are
-    pipes and a chamber below each segment with several children. Fronts of (cost, run length) by dn go from the leaves
-    to the root.
-    """
-    children: dict[int, list[int]] = {n: [] for n in nodes}
-    for n in nodes:
-        if parent[n] is not None:
-            children[parent[n]].append(n)
-    order, stack = [], [n for n in nodes if parent[n] is None]
-    while stack:
-        n = stack.pop()
-        order.append(n)
-        stack += children[n]
-    best: dict[int, dict[int, list[tuple[float, float, tuple]]]] = {}
-    for n in reversed(order):
-        least = next((i for i, c in enumerate(CAPACITY) if flow[n] <= c), len(DN) - 1)
-        best[n] = {}
-        for i in range(least, len(DN)):
-            joined: list[tuple[float, float, tuple]] = [(0.0, 0.0, ())]
-            for c in children[n]:
-                options = _front([(cost, run if k == i else 0.0, (c, k, at)) for k, front in best[c].items() if k <= i for at, (cost, run, _) in enumerate(front)])
-                joined = _front([(a + b, max(r, s), (*x, y)) for a, r, x in joined for b, s, y in options])
-            own = length[n] * PRICE[i] + (_chamber(DN[i]) if len(children[n]) > 1 else 0)
-            front = _front([(cost + own, run + length[n], x) for cost, run, x in joined if run + length[n] <= LONGEST[i] + TOLERANCE])
-            if front:
-                best[n][i] = front
-        if not best[n]:
-            return None
-    chosen: dict[int, int] = {}
-    todo = []
-    for root in (n for n in nodes if parent[n] is None):
-        _, i = min((front[0][0], i) for i, front in best[root].items())
-        todo.append((root, i, 0))
-    while todo:
-        n, i, at = todo.pop()
-        chosen[n] = DN[i]
-        todo += best[n][i][at][2]
-    return chosen
-
-
-def optimise_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """applyInPandas kernel over (group_id, node_id, parent_id, length_m, flow) of one tree."""
-    pdf = pdf.sort_values("node_id")
-    nodes = [int(n) for n in pdf.node_id]
-    parent = {int(n): None if pd.isna(p) else int(p) for n, p in zip(pdf.node_id, pdf.parent_id)}
-    chosen = cheapest_diameters(nodes, parent, dict(zip(nodes, map(float, pdf.length_m))), dict(zip(nodes, map(float, pdf.flow))))
-    return pd.DataFrame({"group_id": int(pdf.group_id.iloc[0]), "node_id": nodes, "dn": [chosen[n] if chosen else None for n in nodes]}).astype({"dn": "Int32"})
+PRICE = [float(d[3]) for d in DIAMETERS]
 
 
 def turn(a: tuple[float, float], b: tuple[float, float], c: tuple[float, float]) -> float:

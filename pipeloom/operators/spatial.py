@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pipeloom.operators.components import components
+from pipeloom.shared import staged
+
 
 def _cells(lo_x: Column, hi_x: Column, lo_y: Column, hi_y: Column, size: float) -> Column:
     xs = F.sequence(F.floor(lo_x / size), F.floor(hi_x / size))
@@ -54,21 +57,40 @@ def clip(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column,
     return enter, F.when(out_x | out_y, F.lit(-1.0)).otherwise(leave)
 
 
+def _cells_along(size: float, reach: float | Column) -> Column:
+    """Cells within reach of the way from (ax, ay) to (bx, by): in each column those beside the way's part there."""
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
+    columns = F.sequence(F.floor((low - reach) / size), F.floor((high + reach) / size))
+
+    def column(c: Column) -> Column:
+        x0, x1 = F.greatest(low, c * size - reach), F.least(high, (c + 1) * size + reach)
+        y = lambda x: F.when(dx != 0, F.col("ay") + dy * ((x - F.col("ax")) / dx))
+        y0, y1 = F.coalesce(y(x0), F.col("ay")), F.coalesce(y(x1), F.col("by"))
+        rows = F.sequence(F.floor((F.least(y0, y1) - reach - 1e-6) / size), F.floor((F.greatest(y0, y1) + reach + 1e-6) / size))
+        return F.transform(rows, lambda r: F.struct(c.alias("cx_"), r.alias("cy_")))
+
+    return F.explode(F.flatten(F.transform(columns, column)))
+
+
 def routes_in_boxes(routes: DataFrame, boxes: DataFrame, size: float = 50.0) -> DataFrame:
-    """Pairs of a route (route_id, ax, ay, bx, by) and a box that it meets, with enter and leave; one row for each pair."""
-    a = routes.withColumn("cell", _cells(F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by"), size))
-    b = boxes.withColumn("cell", _cells(F.col("cx") - F.col("half_w"), F.col("cx") + F.col("half_w"), F.col("cy") - F.col("half_h"), F.col("cy") + F.col("half_h"), size))
+    """Pairs of a route (route_id, ax, ay, bx, by) and a box that it meets, with enter and leave; one row for each pair.
+
+    A box is in the cell of its centre alone, and a route goes to the cells within the largest half side of its way, so
+    each pair meets once and the work follows the ways' lengths, not the area between their ends.
+    """
+    reach = boxes.agg(F.max(F.greatest("half_w", "half_h"))).first()[0]
+    if reach is None:
+        reach = 0.0
+    a = routes.withColumn("cell", _cells_along(size, F.lit(float(reach))))
+    b = boxes.withColumn("cell", F.struct(F.floor(F.col("cx") / size).alias("cx_"), F.floor(F.col("cy") / size).alias("cy_")))
     enter, leave = clip(*(F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy", "half_w", "half_h")))
-    # a pair may share several cells: it counts in the first that both touch
-    first_x = F.floor(F.greatest(F.least("ax", "bx"), F.col("cx") - F.col("half_w")) / size)
-    first_y = F.floor(F.greatest(F.least("ay", "by"), F.col("cy") - F.col("half_h")) / size)
-    met = a.join(b, "cell").filter((F.col("cell.cx_") == first_x) & (F.col("cell.cy_") == first_y))
-    return met.withColumn("enter", enter).withColumn("leave", leave).filter("enter <= leave").drop("cell")
+    return a.join(b, "cell").drop("cell").withColumn("enter", enter).withColumn("leave", leave).filter("enter <= leave")
 
 
 def crossings(routes: DataFrame, size: float = 50.0) -> DataFrame:
     """Pairs (a, b), a < b, of routes that properly cross: the ends of each lie strictly on either side of the other."""
-    spread = routes.withColumn("cell", _cells(F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by"), size))
+    spread = routes.withColumn("cell", _cells_along(size, F.lit(0.0)))
     p = spread.select("cell", *(F.col(c).alias(f"p_{c}") for c in ("route_id", "ax", "ay", "bx", "by")))
     q = spread.select("cell", *(F.col(c).alias(f"q_{c}") for c in ("route_id", "ax", "ay", "bx", "by")))
 
@@ -76,11 +98,50 @@ def crossings(routes: DataFrame, size: float = 50.0) -> DataFrame:
         return (F.col(f"{o}_bx") - F.col(f"{o}_ax")) * (F.col(y) - F.col(f"{o}_ay")) - (F.col(f"{o}_by") - F.col(f"{o}_ay")) * (F.col(x) - F.col(f"{o}_ax"))
 
     cross = (side("p", "q_ax", "q_ay") * side("p", "q_bx", "q_by") < 0) & (side("q", "p_ax", "p_ay") * side("q", "p_bx", "p_by") < 0)
-    return p.join(q, "cell").filter((F.col("p_route_id") < F.col("q_route_id")) & cross).select(F.col("p_route_id").alias("a"), F.col("q_route_id").alias("b")).distinct()
+    return p.join(q, "cell").filter((F.col("p_route_id") < F.col("q_route_id")) & cross).select(F.col("p_route_id").alias("a"), F.col("q_route_id").alias("b")).distinct()  # two ways may share cells
+
 
+def elementary_pieces(spans: DataFrame, key: str, levels: list[float]) -> DataFrame:
+    """Cuts overlapping spans (key, lo, hi, k) at all bounds and gives each piece the largest k over it; gaps have no piece.
 
-def elementary_pieces(spans: DataFrame, key: str) -> DataFrame:
-    """Cuts overlapping spans (key, lo, hi, k) at all bounds and gives each piece the largest k over it; gaps have no piece."""
-    bounds = spans.select(key, F.col("lo").alias("at")).unionByName(spans.select(key, F.col("hi").alias("at"))).distinct()
-    pieces = bounds.withColumn("stop", F.lead("at").over(Window.partitionBy(key).orderBy("at"))).filter("stop is not null")
-    return pieces.join(spans, key).filter("lo <= at and stop <= hi").groupBy(key, "at", "stop").agg(F.max("k").alias("k"))
+    levels: the values that k takes. A bound changes how many spans of each level are open; their running sums tell the
+    largest one, in one pass over the sorted bounds of a key.
+    """
+    opened = [F.when(F.col("k") == k, 1).otherwise(0) for k in levels]
+    bound = lambda c, sign: F.struct(F.col(c).alias("at"), F.array(*(sign * o for o in opened)).alias("d"))
+    bounds = spans.select(key, F.explode(F.array(bound("lo", 1), bound("hi", -1))).alias("b")).groupBy(key, F.col("b.at").alias("at"))
+    bounds = bounds.agg(*(F.sum(F.col("b.d")[i]).alias(f"_d{i}") for i in range(len(levels))))
+    here = Window.partitionBy(key).orderBy("at")
+    open_ = bounds.select(key, "at", F.lead("at").over(here).alias("stop"), *(F.sum(f"_d{i}").over(here).alias(f"_n{i}") for i in range(len(levels))))
+    largest = F.greatest(F.lit(None).cast("double"), *(F.when(F.col(f"_n{i}") > 0, F.lit(float(k))) for i, k in enumerate(levels)))
+    return open_.select(key, "at", "stop", largest.alias("k")).filter("stop is not null and k is not null")
+
+
+def clusters(points: DataFrame, radius: float, point_id: str) -> DataFrame:
+    """(point, group_id): points joined over gaps of radius at most; the group's smallest point names it.
+
+    Points of one cell of side radius / sqrt(2) are one group by themselves, so cells are linked, not points: two cells within
+    reach first by the points of each that are nearest to the other's centre; all points of two cells are compared only
+    where that leaves them in different groups.
+    """
+    side = radius / 2**0.5 * (1 - 1e-9)
+    cell = F.struct(F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+    placed = staged(points.select(F.col(point_id).alias("p"), "x", "y", cell.alias("c")).withColumn("low", F.min("p").over(Window.partitionBy("c"))), "placed")
+    ahead = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) != (0, 0)]
+    toward = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ahead))).alias("o")
+    spread = placed.select("p", "x", "y", "low", "c", toward)
+    gap = squared(F.col("x"), F.col("y"), (F.col("c.cx") + F.col("o.i") + 0.5) * side, (F.col("c.cy") + F.col("o.j") + 0.5) * side)
+    ends = staged(spread.groupBy("c", "o", "low").agg(F.min_by(F.struct("x", "y"), gap).alias("e")), "ends")
+    back = ends.select(F.struct((F.col("c.cx") + F.col("o.i")).alias("cx"), (F.col("c.cy") + F.col("o.j")).alias("cy")).alias("c"), F.struct((-F.col("o.i")).alias("i"), (-F.col("o.j")).alias("j")).alias("o"), F.col("low").alias("low2"), F.col("e").alias("e2"), F.col("c").alias("c2"))
+    pairs = ends.join(back, ["c", "o"]).filter("low < low2")
+    near = squared(F.col("e.x"), F.col("e.y"), F.col("e2.x"), F.col("e2.y")) <= radius * radius
+    pairs = staged(pairs.select("low", "low2", near.alias("near")), "cells")
+    first = components(pairs.filter("near"), "low", "low2")
+    of = lambda c: first.select(F.col("node").alias(c), F.col("component_id").alias(f"{c}_group"))
+    open_ = pairs.filter("not near").join(of("low"), "low", "left").join(of("low2"), "low2", "left").filter(F.coalesce("low_group", "low") != F.coalesce("low2_group", "low2")).select("low", "low2")
+    a, b = (placed.select(F.col("low").alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}")) for n in ("low", "low2"))
+    met = open_.join(a, "low").join(b, "low2").filter(squared(F.col("xlow"), F.col("ylow"), F.col("xlow2"), F.col("ylow2")) <= radius * radius).select("low", "low2").distinct()
+    met = staged(met, "met")
+    whole = first if met.isEmpty() else components(pairs.filter("near").select("low", "low2").unionByName(met), "low", "low2")
+    whole = whole.withColumnRenamed("node", "low")
+    return placed.join(whole, "low", "left").select(F.col("p").alias(point_id), F.coalesce("component_id", "low").alias("group_id"))

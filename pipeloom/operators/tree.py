@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pipeloom.shared import staged
 
+KEPT, ROUNDS = 8, 64
 
 def _kept(state: DataFrame, label: str) -> tuple[DataFrame, int]:
     """The staged state, and how many of its pointers lead on, counted while it is written."""
@@ -23,17 +24,21 @@ def roll_up(tree: DataFrame, value: str, out: str, kind: str = "decimal(18,2)",
     """(node, out): the sum (or max) of value over each node's subtree.
 
     With S_k the aggregate over descendants nearer than 2^k and the 2^k-th ancestor as pointer, S_(k+1) adds the S_k of
-    the nodes that point here. Nodes on or below a cycle raise an error after as many rounds as nodes can need.
+    the nodes that point here. Nodes on or below a cycle raise an error, once as many pointers stay open as in the round before:
+    on a tree every round closes some.
     """
     state, going = _kept(tree.select(F.col(node).alias("n"), F.col(parent).alias("up"), F.col(value).cast(kind).alias("s")), "rollup")
     join_two = (lambda a, b: (a + b).cast(kind)) if how is F.sum else F.greatest
-    for _ in range(_rounds(tree) + 1):
+    for _ in range(ROUNDS):
         if not going:
             return state.select(F.col("n").alias(node), F.col("s").alias(out))
         gift = state.filter("up is not null").groupBy("up").agg(how("s").cast(kind).alias("gift")).withColumnRenamed("up", "n")
         hop = state.select(F.col("n").alias("up"), F.col("up").alias("up2"))
         state = state.join(gift, "n", "left").join(hop, "up", "left").select("n", F.col("up2").alias("up"), F.when(F.col("gift").isNull(), F.col("s")).otherwise(join_two(F.col("s"), F.col("gift"))).alias("s"))
+        before = going
         state, going = _kept(state, "rollup")
+        if going == before:
+            break
     raise ValueError("the parents have a cycle")
 
 
@@ -41,31 +46,39 @@ def walk_up(tree: DataFrame, step: Column, out: str, kind: str, stop: Column | N
     """(node, out, head): the sum of step from each node up to its root, or to the first node where stop holds (inclusive)."""
     ends = F.lit(False) if stop is None else F.coalesce(stop, F.lit(False))
     state, going = _kept(tree.select(F.col(node).alias("n"), F.when(ends, None).otherwise(F.col(parent)).alias("up"), step.cast(kind).alias("s"), F.col(node).alias("head")), "walk")
-    for _ in range(_rounds(tree) + 1):
+    for _ in range(ROUNDS):
         if not going:
             return state.select(F.col("n").alias(node), F.col("s").alias(out), "head")
-        hop = state.select(F.col("n").alias("up"), F.col("up").alias("up2"), F.col("s").alias("s2"), F.col("head").alias("head2"))
+        hop, before = state.select(F.col("n").alias("up"), F.col("up").alias("up2"), F.col("s").alias("s2"), F.col("head").alias("head2")), going
         state, going = _kept(state.join(hop, "up", "left").select("n", F.col("up2").alias("up"), (F.col("s") + F.coalesce("s2", F.lit(0))).cast(kind).alias("s"), F.coalesce("head2", "head").alias("head")), "walk")
+        if going == before:
+            break
     raise ValueError("the parents have a cycle")
 
 
 def on_cycle(tree: DataFrame, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
     """Nodes whose walk upstream never ends: those on a cycle or below one. A parent that is no node ends the walk."""
-    state = staged(tree.select(F.col(node).alias("n"), F.col(parent).alias("up")), "cycle")
+    state, going = _kept(tree.select(F.col(node).alias("n"), F.col(parent).alias("up")), "cycle")
     for _ in range(_rounds(tree) + 1):
+        if not going:
+            break
         hop = state.select(F.col("n").alias("up"), F.col("up").alias("up2"))
-        state = staged(state.filter("up is not null").join(hop, "up").select("n", F.col("up2").alias("up")), "cycle")
+        state, going = _kept(state.filter("up is not null").join(hop, "up").select("n", F.col("up2").alias("up")), "cycle")
     return state.filter("up is not null").select(F.col("n").alias(node))
 
 
 def bfs(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(node, depth) of the nodes reachable over undirected edges (u, v), a frontier at a time."""
+    """(node, depth) of the nodes reachable over undirected edges (u, v), a frontier at a time: one job for each level."""
     both = staged(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     seen = frontier = staged(sources.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
-    depth = 0
-    while not frontier.isEmpty():
+    depth, going = 0, 1
+    while going:
         depth += 1
         fresh = both.join(frontier.select(F.col("node").alias("u")), "u").select(F.col("v").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = staged(fresh.withColumn("depth", F.lit(depth)), "bfs")
+        found = Observation()
+        frontier = staged(fresh.withColumn("depth", F.lit(depth)).observe(found, F.count("*").alias("n")), "bfs")
+        going = found.get["n"]
         seen = seen.unionByName(frontier)
+        if depth % KEPT == 0:  # so that the plan doesn't grow with the levels
+            seen = staged(seen, "seen")
     return seen

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pipeloom.operators.components import components
-from pipeloom.operators.spatial import crossings, elementary_pieces, nearest, points_in_boxes, routes_in_boxes, within
+from pipeloom.operators.spatial import clusters, crossings, elementary_pieces, nearest, points_in_boxes, routes_in_boxes, within
 from pipeloom.operators.tree import bfs, on_cycle
 from pipeloom.shared import load
 from pipeloom.sources.views import sql_views, view
@@ -64,17 +64,22 @@ def cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def point_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connection points joined over gaps of JOIN_RADIUS at most; single points are groups of their own."""
-    comp = components(_others(spark, sf_dir, JOIN_RADIUS).filter("oks_id < other_id"), "oks_id", "other_id")
-    return view(spark, sf_dir, "oks").join(comp.withColumnRenamed("node", "oks_id"), "oks_id", "left").select("oks_id", F.coalesce("component_id", "oks_id").alias("group_id"))
+    return clusters(view(spark, sf_dir, "oks"), JOIN_RADIUS, "oks_id")
+
+
+def joint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for joint plans: over gaps of 250 m."""
+    return clusters(view(spark, sf_dir, "oks"), 250.0, "oks_id")
 
 
 def tree_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problems of the forest: no parent of that number, more than four edges at a node."""
+    """Problems of the forest with a cross link from each seventh node: no parent of that number, more than four edges at a node."""
     tree = view(spark, sf_dir, "tree")
+    links = tree.filter("node_id % 7 = 0").select(F.explode(F.array("node_id", F.floor(F.col("node_id") / 2).cast("long"))).alias("node_id"))
     known = tree.select(F.col("node_id").alias("parent_id"))
     lost = tree.filter("parent_id is not null").join(known, "parent_id", "left_anti").select("node_id", F.lit("unknown parent").alias("problem"))
-    ends = tree.filter("parent_id is not null").select("node_id").unionByName(tree.filter("parent_id is not null").select(F.col("parent_id").alias("node_id")))
-    full = ends.groupBy("node_id").agg(F.count("*").alias("n")).filter("n > 3").select("node_id", F.lit("crowded").alias("problem"))
+    ends = tree.filter("parent_id is not null").select("node_id").unionByName(tree.filter("parent_id is not null").select(F.col("parent_id").alias("node_id"))).unionByName(links)
+    full = ends.groupBy("node_id").agg(F.count("*").alias("n")).filter("n > 4").select("node_id", F.lit("crowded").alias("problem"))
     return lost.unionByName(full)
 
 
@@ -117,7 +122,7 @@ def special_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = view(spark, sf_dir, "restriction").filter("rules_key in ('road', 'tram_tracks')").withColumn("half_w", F.col("half_w") + 3).withColumn("half_h", F.col("half_h") + 3)
     k = F.when(F.col("rules_key") == "road", 1.6).otherwise(1.75)
     spans = routes_in_boxes(routes(spark, sf_dir), boxes, 100.0).select("route_id", F.round("enter", 6).alias("lo"), F.round("leave", 6).alias("hi"), k.alias("k")).filter("lo < hi")
-    return elementary_pieces(spans, "route_id").select("route_id", F.col("at").alias("lo"), F.col("stop").alias("hi"), "k")
+    return elementary_pieces(spans, "route_id", [1.6, 1.75]).select("route_id", F.col("at").alias("lo"), F.col("stop").alias("hi"), "k")
 
 
 def weighted_length(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,16 +150,21 @@ _ROUTES = "routes as (select oks_id as route_id, o.x as ax, o.y as ay, c.x as bx
 
 def _clipped(grow: str, keys: str) -> str:
     """Routes against boxes by the slab method."""
-    return f"""{_ROUTES}, box as (select restriction_id, rules_key, cx, cy, half_w + {grow} as hw, half_h + {grow} as hh from restriction where rules_key in ({keys})),
-  met as (select route_id, restriction_id, rules_key,
+    return f"""{_ROUTES}, box as materialized (select restriction_id, rules_key, cx, cy, half_w + {grow} as hw, half_h + {grow} as hh from restriction where rules_key in ({keys})),
+  strip as materialized (select r.*, unnest(range(floor(least(ax, bx) / 50)::bigint, floor(greatest(ax, bx) / 50)::bigint + 1)) as strip from routes r),
+  cell as materialized (select *, unnest(range(floor((least(case when bx = ax then ay else ay + (b_y - ay) * ((greatest(strip * 50.0, least(ax, bx)) - ax) / (bx - ax)) end, case when bx = ax then b_y else ay + (b_y - ay) * ((least(strip * 50.0 + 50, greatest(ax, bx)) - ax) / (bx - ax)) end) - 1e-6) / 50)::bigint,
+    floor((greatest(case when bx = ax then ay else ay + (b_y - ay) * ((greatest(strip * 50.0, least(ax, bx)) - ax) / (bx - ax)) end, case when bx = ax then b_y else ay + (b_y - ay) * ((least(strip * 50.0 + 50, greatest(ax, bx)) - ax) / (bx - ax)) end) + 1e-6) / 50)::bigint + 1)) as row from strip),
+  spot as materialized (select *, unnest(range(floor((cy - hh) / 50)::bigint, floor((cy + hh) / 50)::bigint + 1)) as row from (select *, unnest(range(floor((cx - hw) / 50)::bigint, floor((cx + hw) / 50)::bigint + 1)) as strip from box)),
+  close as materialized (select distinct route_id, restriction_id from cell join spot using (strip, row)),
+  met as materialized (select route_id, restriction_id, rules_key,
     greatest(0.0, coalesce(case when bx <> ax then least((cx - hw - ax) / (bx - ax), (cx + hw - ax) / (bx - ax)) end, 0.0), coalesce(case when b_y <> ay then least((cy - hh - ay) / (b_y - ay), (cy + hh - ay) / (b_y - ay)) end, 0.0)) as enter,
     case when (bx = ax and abs(ax - cx) > hw) or (b_y = ay and abs(ay - cy) > hh) then -1.0 else
     least(1.0, coalesce(case when bx <> ax then greatest((cx - hw - ax) / (bx - ax), (cx + hw - ax) / (bx - ax)) end, 1.0), coalesce(case when b_y <> ay then greatest((cy - hh - ay) / (b_y - ay), (cy + hh - ay) / (b_y - ay)) end, 1.0)) end as leave
-    from routes join box on least(ax, bx) <= cx + hw and greatest(ax, bx) >= cx - hw and least(ay, b_y) <= cy + hh and greatest(ay, b_y) >= cy - hh)"""
+    from close join routes using (route_id) join box using (restriction_id))"""
 
 
 _SPECIAL = _clipped("3", "'road', 'tram_tracks'") + """, spans as (select route_id, round(enter, 6) as lo, round(leave, 6) as hi, case rules_key when 'road' then 1.6::double else 1.75::double end as k from met where enter <= leave and round(enter, 6) < round(leave, 6)),
-  cuts as (select route_id, cut, lead(cut) over (partition by route_id order by cut) as stop from (select route_id, lo as cut from spans union select route_id, hi from spans)),
+  cuts as materialized (select route_id, cut, lead(cut) over (partition by route_id order by cut) as stop from (select route_id, lo as cut from spans union select route_id, hi from spans)),
   pieces as (select c.route_id, c.cut as lo, c.stop as hi, max(k) as k from cuts c join spans s on s.route_id = c.route_id and s.lo <= c.cut and c.stop <= s.hi group by 1, 2, 3)"""
 _AREA = "area as (select oks_id, x, y, c_nationkey as area from oks join customer on c_custkey = oks_id)"
 _S = "(({o}.bx - {o}.ax) * ({p}y - {o}.ay) - ({o}.by - {o}.ay) * ({p}x - {o}.ax))"
@@ -168,7 +178,8 @@ QUERIES = {
     "bfs_depth": (bfs_depth, f"with recursive {sql_views('tree')}, b as (select node_id, 0 as depth from tree where parent_id is null union all select t.node_id, depth + 1 from b join tree t on t.parent_id = b.node_id) select node_id, depth from b"),
     "cycle_check": (cycle_check, f"with recursive {sql_views('tree')}, c as (select node_id, case when node_id = 1 then 13 else parent_id end as parent_id from tree), r as (select node_id from c where parent_id is null union all select c.node_id from r join c on c.parent_id = r.node_id) select node_id from c where node_id not in (select node_id from r)"),
     "point_groups": (point_groups, f"with recursive {sql_views('oks')}, e as (select o.oks_id as u, c.oks_id as v from oks o join oks c on o.oks_id <> c.oks_id and c.x between o.x - 16 and o.x + 16 and {_D2} <= 256), r as (select oks_id as u, oks_id as v from oks union select r.u, e.v from r join e on e.u = r.v) select u as oks_id, min(v) as group_id from r group by u"),
-    "tree_validity": (tree_validity, f"{_P} select node_id, 'unknown parent' as problem from tree where parent_id is not null and parent_id not in (select node_id from tree) union all select n, 'crowded' from (select node_id as n from tree where parent_id is not null union all select parent_id from tree where parent_id is not null) group by n having count(*) > 3"),
+    "joint_groups": (joint_groups, f"with recursive {sql_views('oks')}, e as materialized (select o.oks_id as u, c.oks_id as v from oks o join oks c on {_D2} <= 62500), r as (select min(oks_id) as u from oks union select e.v from r join e using (u)) select oks_id, case when oks_id in (select u from r) then (select min(oks_id) from oks) end as group_id from oks"),
+    "tree_validity": (tree_validity, f"{_P} select node_id, 'unknown parent' as problem from tree where parent_id is not null and parent_id not in (select node_id from tree) union all select n, 'crowded' from (select node_id as n from tree where parent_id is not null union all select parent_id from tree where parent_id is not null union all select unnest([node_id, node_id // 2]) from tree where node_id % 7 = 0) group by n having count(*) > 4"),
     "median_split": (median_split, f"{_P}, {_AREA}, box as (select area, max(x) - min(x) >= max(y) - min(y) as wide, count(*) as n from area group by area) select oks_id, area, case when row_number() over (partition by area order by case when wide then x else y end, oks_id) - 1 < n // 2 then 0 else 1 end as half from area join box using (area)"),
     "chunk_six": (chunk_six, "select c_custkey as oks_id, c_nationkey as area, ((row_number() over (partition by c_nationkey order by c_custkey) - 1) // 6)::bigint as chunk from customer"),
     "own_polygon": (own_polygon, f"{_P} select oks_id, min(restriction_id) as restriction_id from oks join restriction on rules_key = 'oks_existing' and abs(x - cx) <= half_w and abs(y - cy) <= half_h group by oks_id"),

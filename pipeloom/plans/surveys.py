@@ -126,14 +126,6 @@ def turn_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter(size > 0).select("node_id", F.round(turn, 6).alias("turn_deg"), (turn > 90).alias("too_sharp"))
 
 
-def area_of_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The envelope of the connection points, widened by 1 km when the network is longer than 3 km, with the restrictions that it meets."""
-    box = view(spark, sf_dir, "oks").agg((F.min("x") - 100).alias("x0"), (F.max("x") / 2).alias("x1"), (F.min("y") - 100).alias("y0"), (F.max("y") / 2).alias("y1"))
-    r = view(spark, sf_dir, "restriction")
-    met = r.join(F.broadcast(box), (F.col("cx") + F.col("half_w") >= F.col("x0")) & (F.col("cx") - F.col("half_w") <= F.col("x1")) & (F.col("cy") + F.col("half_h") >= F.col("y0")) & (F.col("cy") - F.col("half_h") <= F.col("y1")))
-    return met.groupBy("rules_key").agg(F.count("*").alias("n"))
-
-
 def geojson_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A GeoJSON feature for each route; numeric ids stay numbers."""
     r = routes(spark, sf_dir)
@@ -168,6 +160,5 @@ QUERIES = {
     "drop_avoidable": (drop_avoidable, "with st as (select o_custkey as g, l_orderkey as v, l_suppkey as s, bool_or(l_returnflag <> 'N') as j from lineitem join orders on o_orderkey = l_orderkey group by 1, 2, 3), c as (select g, s, bool_or(j) as can from st group by 1, 2), b as (select st.g, v, bool_or(not j and can) as bad from st join c on c.g = st.g and c.s = st.s group by 1, 2) select g as group_id, v as variant_key from (select *, bool_and(bad) over (partition by g) as all_bad from b) where all_bad or not bad"),
     "hausdorff": (hausdorff, "with o as (select o_custkey, (o_orderkey % 1000)::double as x, (o_orderkey * 37 % 991)::double as y, c_nationkey as nation from orders join customer on c_custkey = o_custkey), b as (select nation, o_custkey, row_number() over (partition by nation order by count(*) desc, o_custkey) as r from o group by 1, 2), p as (select o.nation, r, x, y from o join b using (nation, o_custkey) where r <= 2), n as (select p.nation, p.r, p.x, p.y, min((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) as d2 from p join p q on q.nation = p.nation and q.r = 3 - p.r group by 1, 2, 3, 4) select nation, round(sqrt(max(d2)), 6) as distance from n group by 1"),
     "turn_angles": (turn_angles, f"{_V('tree')}, e as (select t.node_id, m.x - p.x as ax, m.y - p.y as ay, t.x - m.x as bx, t.y - m.y as by2 from tree t join tree m on m.node_id = t.parent_id join tree p on p.node_id = m.parent_id), a as (select node_id, degrees(acos(greatest(-1.0, least(1.0, (ax * bx + ay * by2) / sqrt((ax * ax + ay * ay) * (bx * bx + by2 * by2)))))) as turn from e where (ax * ax + ay * ay) * (bx * bx + by2 * by2) > 0) select node_id, round(turn, 6) as turn_deg, turn > 90 as too_sharp from a"),
-    "area_of_interest": (area_of_interest, f"{_V('oks', 'restriction')}, b as (select min(x) - 100 as x0, max(x) / 2 as x1, min(y) - 100 as y0, max(y) / 2 as y1 from oks) select rules_key, count(*) as n from restriction, b where cx + half_w >= x0 and cx - half_w <= x1 and cy + half_h >= y0 and cy - half_h <= y1 group by 1"),
     "geojson_export": (geojson_export, None),
 }

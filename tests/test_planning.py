@@ -3,12 +3,20 @@ import random
 
 import pytest
 
-from pipeloom.operators.optimise import CAPACITY, DN, LONGEST, PRICE, TOLERANCE, _chamber, cheapest_diameters, greedy_tree, turn, turn_aware_path
+from pipeloom.functions.reference import CHAMBER_BANDS, DIAMETERS
+from pipeloom.operators.diameters import cheapest_diameters
+from pipeloom.operators.optimise import greedy_tree, turn, turn_aware_path
 from pipeloom.sources.geojson import parse_features
 
 
-def brute(nodes, parent, length, flow, dns):
-    children = {n: [c for c in nodes if parent[c] == n] for n in nodes}
+DN, CAPACITY, LONGEST, PRICE = [d[0] for d in DIAMETERS], [float(d[1]) for d in DIAMETERS], [d[2] for d in DIAMETERS], [d[3] for d in DIAMETERS]
+
+
+def price(nodes, children, length, dn):
+    return sum(round(length[n] * PRICE[dn[n]]) + (next(c for last, c in CHAMBER_BANDS if DN[dn[n]] <= last) if len(children[n]) > 1 else 0) for n in nodes)
+
+
+def brute(nodes, children, parent, length, flow, dns):
     best = None
     for pick in itertools.product(range(dns), repeat=len(nodes)):
         dn = dict(zip(nodes, pick))
@@ -17,33 +25,40 @@ def brute(nodes, parent, length, flow, dns):
         run, ok = {}, True
         for n in sorted(nodes, reverse=True):
             run[n] = length[n] + max([run[c] for c in children[n] if dn[c] == dn[n]], default=0)
-            ok &= run[n] <= LONGEST[dn[n]] + TOLERANCE
+            ok &= run[n] <= LONGEST[dn[n]] + 0.01
         if ok:
-            cost = sum(length[n] * PRICE[dn[n]] + (_chamber(DN[dn[n]]) if len(children[n]) > 1 else 0) for n in nodes)
+            cost = price(nodes, children, length, dn)
             best = cost if best is None else min(best, cost)
     return best
 
 
-def test_cheapest_diameters_equal_brute_force():
+def test_cheapest_diameters_equal_brute_force(spark):
+    """All trees in one forest: 24 random ones, one whose run limit raises the dn, one that just keeps it, one without a choice."""
     r = random.Random(3)
-    for _ in range(25):
-        n = r.randrange(1, 7)
-        nodes = list(range(n))
-        parent = {i: None if i == 0 else r.randrange(i) for i in nodes}
+    forest, trees = [], []
+    for t in range(27):
+        n = r.randrange(1, 7) if t < 24 else 2 if t < 26 else 1
+        nodes = [10 * t + i for i in range(n)]
+        parent = {i: None if i == nodes[0] else r.choice([j for j in nodes if j < i]) for i in nodes}
         length = {i: r.choice([20.0, 90.0, 150.0, 200.0]) for i in nodes}
         flow = {i: r.choice([1.0, 3.0, 6.0]) for i in nodes}
         for i in reversed(nodes[1:]):
             flow[parent[i]] += flow[i]
-        got = cheapest_diameters(nodes, parent, length, flow)
-        want = brute(nodes, parent, length, flow, 7)
-        children = {i: sum(parent[c] == i for c in nodes) for i in nodes}
-        cost = got and sum(length[i] * PRICE[DN.index(got[i])] + (_chamber(got[i]) if children[i] > 1 else 0) for i in nodes)
-        assert want is None or cost == pytest.approx(want) or cost < want
-
-
-def test_run_limit_raises_dn():
-    assert cheapest_diameters([0, 1], {0: None, 1: 0}, {0: 100.0, 1: 100.0}, {0: 3.0, 1: 3.0})[0] == 65
-    assert set(cheapest_diameters([0, 1], {0: None, 1: 0}, {0: 100.0, 1: 81.005}, {0: 3.0, 1: 3.0}).values()) == {50}
+        if t in (24, 25):
+            length, flow = {nodes[0]: 100.0, nodes[1]: 100.0 if t == 24 else 81.005}, dict.fromkeys(nodes, 3.0)
+        if t == 26:
+            length = {nodes[0]: 20000.0}
+        trees.append((nodes, parent, length, flow))
+        forest += [(i, parent[i], length[i], flow[i]) for i in nodes]
+    got = {x.node_id: x.dn for x in cheapest_diameters(spark.createDataFrame(forest, "node_id long, parent_id long, length_m double, flow double")).collect()}
+    assert len(got) == len(forest)
+    for nodes, parent, length, flow in trees[:26]:
+        children = {i: [c for c in nodes if parent[c] == i] for i in nodes}
+        want = brute(nodes, children, parent, length, flow, 6)
+        cost = price(nodes, children, length, {i: DN.index(got[i]) for i in nodes})
+        assert want is None or cost <= want
+        assert brute(nodes, children, parent, length, flow, 1 + max(DN.index(got[i]) for i in nodes)) == cost or want is None
+    assert got[240] == 65 and {got[250], got[251]} == {50} and got[260] is None
 
 
 def test_turn_aware_path():

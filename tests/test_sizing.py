@@ -63,7 +63,7 @@ def test_spatial(spark):
     assert {r.route_id for r in routes_in_boxes(routes, box).collect()} == {1, 3}
     assert {tuple(r) for r in crossings(routes).collect()} == {(1, 3), (2, 3)}
     spans = spark.createDataFrame([(1, 0.0, 0.5, 1.6), (1, 0.25, 0.75, 1.75)], "r long, lo double, hi double, k double")
-    assert sorted((r["at"], r.stop, r.k) for r in elementary_pieces(spans, "r").collect()) == [(0.0, 0.25, 1.6), (0.25, 0.5, 1.75), (0.5, 0.75, 1.75)]
+    assert sorted((r["at"], r.stop, r.k) for r in elementary_pieces(spans, "r", [1.6, 1.75]).collect()) == [(0.0, 0.25, 1.6), (0.25, 0.5, 1.75), (0.5, 0.75, 1.75)]
 
 
 def test_projection(spark):
