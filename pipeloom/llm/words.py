@@ -1,13 +1,19 @@
 """Vectorised splitting and hashing of words over Arrow string columns.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Hashes are 64-bit: a random table per byte,
-a polynomial over the place in the word, and a final mix, so that equal words have equal hashes everywhere.
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Hashes are 64-bit and take eight bytes of a word at a
+time, each mixed into what was before (of words beyond GIANT bytes, each mixed with its place and summed), so no
+repetition of bytes makes them cancel. Equal words have equal hashes everywhere; two different words share one by chance
+only (one pair in 2^64).
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +22,34 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_TABLE = np.random.default_rng(20231).integers(1, 1 << 64, 256, dtype=np.uint64)
-_TABLE[_SPACE] = 0
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+GIANT = 4096
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 
 
+def give_back() -> None:
+    """Hands memory that earlier tasks of this worker process have left back to the system, as far as the platform can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """run, a function over batches, handing memory back when it is through: worker processes outlive their tasks."""
+
+    @wraps(run)
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return through
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values."""
     h = h ^ (h >> np.uint64(32))
@@ -33,6 +59,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def gram(h: np.ndarray) -> np.uint64:
+    """The hash of a row of words, as Chunk.grams gives it."""
+    acc = h[-1:].copy()
+    for x in h[-2::-1]:
+        acc = acc * _GRAM + x
+    return mix(acc)[0]
+
+
 @dataclass
 class Chunk:
     """Some rows of a batch: their bytes and their words. first[i]:first[i + 1] are the words of row i."""
@@ -47,15 +81,26 @@ class Chunk:
     def hashes(self, lower: bool = False) -> np.ndarray:
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        data = LOWER[self.data] if lower else self.data
-        lens = np.diff(np.append(self.starts, len(data)))
-        place = np.arange(self.starts[0], len(data)) - np.repeat(self.starts, lens)
-        powers = np.full(int((self.ends - self.starts).max()) + 1, _BASE)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        values = _TABLE[data[self.starts[0] :]]
-        values *= powers[np.minimum(place, len(powers) - 1)]
-        return mix(np.add.reduceat(values, self.starts - self.starts[0]))
+        data = np.zeros(len(self.data) + 8, np.uint8)
+        data[:-8] = LOWER[self.data] if lower else self.data
+        at = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+        size = self.ends - self.starts
+        h = mix(size.astype(np.uint64) * _BASE)
+        live, spot, left = np.arange(len(size)), self.starts, size
+        if (giant := np.flatnonzero(size > GIANT)).size:
+            for i in giant:
+                whole = np.zeros(-(-size[i] // 8) * 8, np.uint8)
+                whole[: size[i]] = data[self.starts[i] : self.ends[i]]
+                lanes = whole.view("<u8") * _BASE
+                h[i : i + 1] += mix(lanes ^ mix(np.arange(len(lanes), dtype=np.uint64))).sum()
+            live = np.flatnonzero(size <= GIANT)
+            spot, left = spot[live], left[live]
+        while len(live):
+            part = at[spot] & _MASKS[np.minimum(left, 8)]
+            h[live] = mix(h[live] ^ part * _BASE)
+            more = left > 8
+            live, spot, left = live[more], spot[more] + 8, left[more] - 8
+        return h
 
     def grams(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of n words from each word on, and whether all n lie in the word's own row."""
