@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pipeloom.llm.words import give_back, tidy
 from pipeloom.shared import staged
 
 CLASSES = 128
-REMEMBERED = 250_000
+REMEMBERED_BYTES = 20 << 20  # of a generation of words, of which two are kept
 LONG_WORD = 64
+ENTRY_BYTES = 240  # a word, its ids and their place in the table
+ROWS = 100
 #: Lower-case letters below U+0100 that are letters to every tokenizer, and punctuation other than apostrophes after
 #: them: pre-tokens whose ids don't depend on each other.
 _SHAPE = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*|]*)\\Z")
@@ -42,37 +45,44 @@ class _Ids(dict):
 
     def __init__(self, vocabulary: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        self.tokenizer = t = Tokenizer.from_file(vocabulary)
+        if t.get_vocab_size() > 1 << 16:
             raise ValueError("identifiers are kept in 16 bits")
         self.older: dict[str, bytes] = {}
+        self.held = 0
         capitals = "".join(map(chr, [*range(65, 91), *range(192, 215), *range(216, 223)]))
-        self.lower = self.tokenizer.encode(capitals, add_special_tokens=False).ids == self.tokenizer.encode(capitals.lower(), add_special_tokens=False).ids
+        self.lower = t.encode(capitals, add_special_tokens=False).ids == t.encode(capitals.lower(), add_special_tokens=False).ids
         # for words of lower-case letters alone nothing is left to normalise or to part but spaces
-        from tokenizers import normalizers, pre_tokenizers
-
-        self.letters = Tokenizer.from_file(vocabulary)
-        self.letters.normalizer = normalizers.Sequence([])
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.steps = self.whole = (t.normalizer, t.pre_tokenizer)
+        self.letters = (normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]))
         probe = "".join(map(chr, [*range(97, 123), *range(223, 247), *range(248, 256)]))
         probe = " ".join(probe[i:] + probe[:i] for i in range(len(probe)))
-        if self.letters.encode(probe, add_special_tokens=False).ids != self.tokenizer.encode(probe, add_special_tokens=False).ids:
-            self.letters = self.tokenizer
+        if self._with(self.letters).encode(probe, add_special_tokens=False).ids != self._with(self.whole).encode(probe, add_special_tokens=False).ids:
+            self.letters = self.whole
         self.ends = np.zeros(1 << 16, bool)
-        suffix = self.tokenizer.model.end_of_word_suffix
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        suffix = t.model.end_of_word_suffix
+        self.ends[[i for i in range(t.get_vocab_size()) if suffix and (t.id_to_token(i) or "").endswith(suffix)]] = True
+
+    def _with(self, steps: tuple):
+        """The one tokenizer, with these steps before its merges."""
+        if self.steps is not steps:
+            self.steps = steps
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
+        return self.tokenizer
 
     def of(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        if not words:
+            return []
+        return [np.array(e.ids, "<u2").tobytes() for e in self._with(self.whole).encode_batch_fast(words, add_special_tokens=False)]
 
     def many(self, words: list[str]) -> dict[str, bytes]:
         """The same for lower-case runs of letters below U+0100, which each are one pre-token: joined by spaces and parted after word ends."""
         out: dict[str, bytes] = {}
         for i in range(0, len(words), 2000):
             some = words[i : i + 2000]
-            ids = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            ids = np.array(self._with(self.letters).encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some):
                 out.update(zip(some, self.of(some)))
@@ -94,9 +104,11 @@ class _Ids(dict):
                 gc.enable()
 
     def _learn(self, texts: list[list[str]]) -> None:
-        if len(self) >= REMEMBERED:
+        if self.held >= REMEMBERED_BYTES:
             self.older = dict(self)
             self.clear()
+            self.held = 0
+        before = len(self)
         new = set().union(*texts)
         new.difference_update(self)
         if self.older:
@@ -120,6 +132,7 @@ class _Ids(dict):
         ends = dict(zip(ends, self.of(list(ends))))
         self.update([(w, self[a] + ends[b]) for w, a, b in ended])
         self.update(zip(rest, self.of(rest)))
+        self.held += ENTRY_BYTES * (len(self) - before)  # words of LONG_WORD characters at most
 
     def __missing__(self, word: str) -> bytes:
         return self.of([word])[0]
@@ -146,10 +159,10 @@ def _encoded(vocabulary: str, end: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _ids(vocabulary)
         tail = np.array([end], "<u2").tobytes()
-        pa.default_memory_pool().release_unused()  # what earlier tasks of this process have left
+        give_back()
         for batch in batches:
-            for i in range(0, batch.num_rows, 400):
-                part = batch.slice(i, 400)
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
                 split = [(_lower(t) if known.lower else t or "").replace("\n", " ").split(" ") for t in part.column(1).to_pylist()]
                 known.learn(split)
                 packed = [b"".join(map(known.__getitem__, words)) + tail for words in split]
@@ -282,7 +295,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 4096, end: int = 2, id_
     spark = docs.sparkSession
     unit = length // CLASSES
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    encoded = rows.mapInArrow(_encoded(vocabulary, end, length), "doc_id long, doc_tokens long, crcs array<long>, rest_crc long, ids binary")
+    encoded = rows.mapInArrow(tidy(_encoded(vocabulary, end, length)), "doc_id long, doc_tokens long, crcs array<long>, rest_crc long, ids binary")
     encoded = staged(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
     lens = encoded.select(
         "row", "doc_id", "doc_tokens", "crcs", "rest_crc", (F.col("doc_tokens") % length).alias("rest"),
@@ -304,7 +317,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 4096, end: int = 2, id_
     slots = {c: tuple(np.array(x) for x in zip(*v)) for c, v in slots.items()}
     blocks = max(1, total // 50_000)
     ranked = _running(lens.select("row", "rest", "class").filter("rest > 0").withColumn("one", F.lit(1)), F.pmod(F.xxhash64("row"), F.lit(blocks)), ["row"], {"rank": "one"}, ["class"])
-    placed = ranked.select("row", "rest", "class", "rank").mapInArrow(_place(slots), "row long, rest long, class int, rank long, seq long")
+    placed = ranked.select("row", "rest", "class", "rank").mapInArrow(tidy(_place(slots)), "row long, rest long, class int, rank long, seq long")
     inside = Window.partitionBy("seq").orderBy(F.desc("rest"), "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = staged(placed.select("row", "rest", "seq", F.coalesce(F.sum("rest").over(inside), F.lit(0)).alias("at")), "placed")
 
@@ -336,7 +349,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 4096, end: int = 2, id_
     some = cut.select("row").distinct()
     if some.count() <= BROADCAST_ROWS:
         some = F.broadcast(some)
-    cut = cut.join(encoded.select("row", "ids").join(some, "row", "left_semi"), "row").mapInArrow(_cut_crcs, "row long, doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
+    cut = cut.join(encoded.select("row", "ids").join(some, "row", "left_semi"), "row").mapInArrow(tidy(_cut_crcs), "row long, doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
     long = _running(lens.filter("wholes > 0").select("row", "doc_id", "doc_tokens", "crcs", "wholes"), F.pmod(F.xxhash64("row"), F.lit(blocks)), ["row"], {"base": "wholes"}, [])
     long = long.select("doc_id", "doc_tokens", "base", F.posexplode("crcs").alias("k", "ids_crc32")).select(
         "doc_id", (F.col("k") * F.lit(length).cast("long")).alias("start"), F.lit(length).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.lit(base).cast("long") + F.col("base") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
