@@ -6,7 +6,8 @@ minhash values instead of tables^2 * 2 * band.
 
 Rows without words have an empty set and no links; repeated rows count as copies; rows with a null doc_id take no
 part. Copies (equal sets) are one node. Every candidate pair is confirmed on whole sets, unless both ends already are
-in one component.
+in one component. Rows that share a doc_id are one document: what any of its texts is linked with is in its component.
+Texts may be of any length; an empty table gives an empty result; other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipeloom.llm.words import Chunk, chunks, mix
+from pipeloom.llm.words import Chunk, chunks, mix, tidy
 from pipeloom.operators.components import components
 from pipeloom.shared import staged
 
@@ -52,6 +53,11 @@ def _sets(chunk: Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(row, np.arange(len(sizes) + 1))
 
 
+def _identity(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Two independent sums over each set, which name it."""
+    return np.stack([np.add.reduceat(mix(grams ^ np.uint64(salt)), begin) for salt in (0, 0x5851F42D4C957F2D)])
+
+
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _SEEDS[0] | np.uint32(1), _SEEDS[1]
@@ -64,8 +70,7 @@ def _signatures(words: int):
                 sig = np.zeros((len(n), len(a)), np.uint32)
                 if len(full):
                     begin = at[:-1][full]
-                    sums[0, full] = np.add.reduceat(mix(grams), begin)
-                    sums[1, full] = np.add.reduceat(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), begin)
+                    sums[:, full] = _identity(grams, begin)
                     x = (grams >> np.uint64(32)).astype(np.uint32)
                     y = (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                     for k in range(len(a)):
@@ -178,11 +183,11 @@ def _choose(table: pa.Table) -> pa.Table:
 def _shingles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch.column(1)):
+            for c in chunks(batch.column(1), 1 << 18):
                 grams, at = _sets(c, words)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(c.rows.start, c.rows.stop - c.rows.start), pa.array([grams[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], names=["id", "shingles"]
-                )
+                full = np.flatnonzero(np.diff(at))
+                sums = _identity(grams, at[:-1][full]).view(np.int64) if len(full) else np.zeros((2, 0), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sums[0]), pa.array(sums[1]), pa.array([grams[at[k] : at[k + 1]].tobytes() for k in full], pa.binary())], names=["h1", "h2", "shingles"])
 
     return run
 
@@ -275,34 +280,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     spark = docs.sparkSession
     floor = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / (2 * BAND * TABLES)) ** 0.5
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = staged(rows.mapInArrow(_signatures(words), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
+    sigs = staged(rows.mapInArrow(tidy(_signatures(words)), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
     full = sigs.filter("n_shingles > 0 and doc_id is not null")
-    nodes = staged(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "nodes")
+    # numbered in the order of their smallest doc_id, so the smallest node of a component has its smallest doc_id
+    nodes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")).sort("doc", "h1", "h2")
+    nodes = staged(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * TABLES * TABLES // 4_000_000)
-    packed = nodes.select("id", "sig").mapInArrow(_emit(buckets), "bucket int, keys binary, ids binary, lows binary")
+    packed = nodes.select("id", "sig").mapInArrow(tidy(_emit(buckets)), "bucket int, keys binary, ids binary, lows binary")
     met = packed.groupBy("bucket").applyInArrow(_meet(buckets), "bucket int, pairs binary")
     members = staged(met.groupBy("bucket").applyInArrow(_choose, "id long, lows array<long>"), "members")
 
     sig_of = nodes.select("id", "sig")
     star = members.select("id", F.explode(F.array_distinct("lows")).alias("a")).filter("id <> a").select("a", F.col("id").alias("b"))
     star = star.join(sig_of.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sig_of.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
-    star = staged(star.mapInArrow(_screen(floor), "a long, b long"), "pairs")
-
-    wanted = members.select("id")
-    if wanted.count() <= BROADCAST_IDS:  # 8 bytes each; beyond it the join shuffles
-        wanted = F.broadcast(wanted)
-    sets = rows.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_shingles(words), "id long, shingles binary")
-    sets = staged(sets, "sets").dropDuplicates(["id"])
-    links = staged(_confirmed(star, sets, percent), "links")
+    star = staged(star.mapInArrow(tidy(_screen(floor)), "a long, b long"), "pairs")
+
+    wanted = staged(members.select("id").join(nodes.select("id", "doc", "h1", "h2"), "id"), "wanted")
+    asked = wanted.select(F.col("doc").alias("doc_id")).distinct()
+    if asked.count() <= BROADCAST_IDS:  # 8 bytes each; beyond it the join shuffles
+        asked = F.broadcast(asked)
+    sets = rows.join(asked, "doc_id", "left_semi").mapInArrow(tidy(_shingles(words)), "h1 long, h2 long, shingles binary").dropDuplicates(["h1", "h2"])
+    sets = staged(sets.join(wanted.select("id", "h1", "h2"), ["h1", "h2"]).select("id", "shingles"), "sets")
+    links = staged(_confirmed(star, sets, percent), "links").unionByName(staged(_same_document(full, nodes), "same"))
     more = _rest(members, sig_of, components(links), sets, percent, floor, block)
-    links = links.unionByName(staged(more, "links"))
-    comp = components(links)
-    node = nodes.select("h1", "h2", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("component_id", "id").alias("c"))
+    comp = components(links.unionByName(staged(more, "links")))
+    low = comp.join(nodes.select(F.col("id").alias("component_id"), "doc"), "component_id").select(F.col("node").alias("id"), F.col("doc").alias("c"))
+    node = nodes.select("h1", "h2", "id", "doc").join(low, "id", "left").select("h1", "h2", F.coalesce("c", "doc").alias("c"))
     copies = sigs.select("doc_id", "n_shingles", "h1", "h2").join(node, ["h1", "h2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
     return copies.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _same_document(full: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the nodes of each doc_id that has several."""
+    sets = F.struct("h1", "h2")
+    several = full.groupBy("doc_id").agg(F.min(sets).alias("lo"), F.max(sets).alias("hi")).filter("lo <> hi").select("doc_id")
+    each = full.join(several, "doc_id").select("doc_id", "h1", "h2").join(nodes.select("id", "h1", "h2"), ["h1", "h2"]).select("doc_id", "id").distinct()
+    least = each.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return each.join(least, "doc_id").filter("a <> id").select("a", F.col("id").alias("b"))
+
+
 def _screen(floor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +333,7 @@ def _screen(floor: float):
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    return a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
+    return a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(tidy(_confirm(percent)), "a long, b long")
 
 
 def _rest(members: DataFrame, sig_of: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, floor: float, block: int) -> DataFrame:
@@ -327,7 +344,7 @@ def _rest(members: DataFrame, sig_of: DataFrame, comp: DataFrame, sets: DataFram
     cut into blocks, and each pair of blocks is a group of its own, so that no group holds more than two blocks.
     """
     named = members.select("id").join(comp.select(F.col("node").alias("id"), "component_id"), "id", "left").join(sig_of, "id").select("id", F.coalesce("component_id", "id").alias("comp"), "sig")
-    named = staged(named.mapInArrow(_left_hashes, "id long, comp long, sig binary, left array<long>"), "named")
+    named = staged(named.mapInArrow(tidy(_left_hashes), "id long, comp long, sig binary, left array<long>"), "named")
     sized = named.join(sets.select("id", F.octet_length("shingles").alias("bytes")), "id")
     spread = sized.select("id", "comp", "bytes", F.posexplode("left").alias("place", "hash"))
     mixed = spread.groupBy("place", "hash").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.sum("bytes").alias("bytes"))
