@@ -1,16 +1,18 @@
 """Embedding near-duplicates by collision-counting projections.
 
 Vectors of equal label are spread over cells of a few random projections each, in several tables, so that a pair at the
-cosine bound shares a cell in some table but for MISS of cases. In its cell a vector asks for those within a window
+cosine bound shares a cell in some table but for MISS of cases. The number of projections of a cell grows with the
+logarithm of the largest label's vectors, so that cells stay small. In its cell a vector asks for those within a window
 around its own value on each of COUNTED further projections. The first, in sorted order, gives the partners within
 REACH, which a pair at the bound exceeds in MISS of cases; of all projections, the first with the others, a pair must
-collide on as many as a pair at the bound does but for MISS of cases. Such pairs are
+collide on as many as a pair at the bound does but for MISS of cases. Values are counted in steps of STEP, a byte each:
+a window is at least WINDOW wide and at most a step wider, so no collision is lost. Such pairs are
 verified by their cosine in double precision, each in the first table that brings it together.
 
 Copies (equal vectors of one label) are one node. Cells are cut into blocks, pairs of blocks are groups, and a group
 returns sums and a spanning forest of its links, not the links. Vectors that are null, empty, zero or hold null or
 non-finite components, and those with a null label, link with nothing; vectors of unequal length don't link; repeated
-rows are copies.
+rows are copies. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from pipeloom.llm.words import mix
 from pipeloom.operators.components import components
@@ -31,12 +34,13 @@ from pipeloom.shared import staged
 COUNTED, MISS = 24, 1e-7
 CELL_WIDTH, WINDOW = 8.0, 3.0  # in standard deviations of a projected difference at the bound
 REACH = NormalDist().inv_cdf(1 - MISS / 2)
+STEP = 0.5
 BLOCK = 2048
 
 
 def _plan(n: int) -> tuple[int, int, int]:
-    """Projections of a cell, tables, and collisions needed, from the number of vectors and MISS."""
-    per_cell = min(12, max(3, round(math.log2(max(n, 2)) / 3)))
+    """Projections of a cell, tables, and collisions needed, from the number of vectors of a label and MISS."""
+    per_cell = min(12, max(3, round(math.log2(max(n, 2)) / 2)))
     near = (1 - math.sqrt(2 / math.pi) / CELL_WIDTH) ** per_cell
     tables = math.ceil(math.log(MISS) / math.log(1 - near))
     hit = math.erf(WINDOW / math.sqrt(2))
@@ -58,25 +62,30 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1)[:, None]
 
 
-def _by_length(vectors: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _by_length(vectors: list[bytes], kind: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     size = np.array([len(v) for v in vectors])
     for s in np.unique(size):
         rows = np.flatnonzero(size == s)
-        yield rows, np.frombuffer(b"".join(vectors[i] for i in rows), np.float64).reshape(len(rows), -1)
+        yield rows, np.frombuffer(b"".join(vectors[i] for i in rows), kind).reshape(len(rows), -1).astype(np.float64)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [np.array(v, np.float64).tobytes() for v in batch.column("vector").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label", "copies")), pa.array(packed, pa.binary())], names=["id", "label", "copies", "vector"])
+def _packed(kind: str):
+    """Vectors as bytes of their own precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [np.array(v, kind).tobytes() for v in batch.column("vector").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label", "copies")), pa.array(packed, pa.binary())], names=["id", "label", "copies", "vector"])
+
+    return run
 
 
-def _cells(distance: float, per_cell: int, tables: int):
+def _cells(distance: float, per_cell: int, tables: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column("vector").to_pylist()
             keys = np.zeros((len(vectors), tables), np.uint64)
-            for rows, x in _by_length(vectors):
+            for rows, x in _by_length(vectors, kind):
                 spots = _unit(x) @ _directions(x.shape[1], per_cell * tables, 1) / distance
                 shift = np.random.default_rng(2).uniform(0, CELL_WIDTH, per_cell * tables)
                 spots = np.floor((spots + shift) / CELL_WIDTH).astype(np.int64).astype(np.uint64).reshape(len(rows), tables, per_cell)
@@ -84,8 +93,8 @@ def _cells(distance: float, per_cell: int, tables: int):
                 for k in range(per_cell):
                     part = mix(part * np.uint64(3) + spots[:, :, k])
                 keys[rows] = part
-            keys = keys.view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(keys), pa.list_(pa.int64()))], names=[*batch.schema.names, "cells"])
+            short = pa.array([k.tobytes() for k in (keys >> np.uint64(32)).astype("<u4")], pa.binary())  # enough to tell which tables a pair shares
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), short], names=[*batch.schema.names, "cells", "short"])
 
     return run
 
@@ -104,27 +113,32 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _count(cosine: float, distance: float, need: int):
+def _count(cosine: float, distance: float, need: int, kind: str):
     """Of two blocks of one cell: each vector's links (by copies), and its component's smallest vector among these."""
 
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         ids = t.column("id").to_numpy()
-        x = _unit(np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(len(ids), -1))
-        spots = (x @ _directions(x.shape[1], COUNTED, 7) / distance).astype(np.float32)
+        x = _unit(np.frombuffer(b"".join(t.column("vector").to_pylist()), kind).reshape(len(ids), -1).astype(np.float64))
+        spots = x @ _directions(x.shape[1], COUNTED, 7) / distance
         order = np.lexsort((ids, spots[:, 0]))
         ids, x, spots = ids[order], x[order], spots[order]
+        steps = np.ascontiguousarray(np.clip(np.floor(spots / STEP), -63, 63).astype(np.int8).T)  # differences fit a byte; the ends only draw values together
+        width = math.ceil(WINDOW / STEP)
         copies, block = t.column("copies").to_numpy()[order], t.column("block").to_numpy()[order]
-        cells = np.array(t.column("cells").to_pylist())[order]
+        cells = np.frombuffer(b"".join(t.column("short").to_pylist()), "<u4").reshape(len(ids), -1)[order]
         place, bi, bj = (t.column(c)[0].as_py() for c in ("place", "bi", "bj"))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        stop = np.searchsorted(spots[:, 0], spots[:, 0] + np.float32(REACH * 1.0001), "right")
-        for s in range(0, len(ids), 128):
-            e = min(s + 128, len(ids))
+        stop = np.searchsorted(spots[:, 0], spots[:, 0] + REACH * 1.0001, "right")
+        for s in range(0, len(ids), 64):
+            e = min(s + 64, len(ids))
             end = int(stop[e - 1])
             met = np.zeros((e - s, end - s), np.uint8)
+            apart = np.empty(met.shape, np.int8)
             for k in range(COUNTED):
-                met += np.abs(spots[s:e, k, None] - spots[None, s:end, k]) <= WINDOW
+                np.subtract(steps[k, s:e, None], steps[k, None, s:end], out=apart)
+                np.abs(apart, out=apart)
+                met += apart <= width
             i, j = np.nonzero(np.triu(met >= need, 1))
             i, j = i + s, j + s
             if bi != bj:
@@ -155,16 +169,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("h1", F.xxhash64("label", "vector")).withColumn("h2", F.xxhash64("vector", "label", F.lit(1)))
     nodes = rows.filter("sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.first("label").alias("label"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     nodes = staged(nodes, "nodes")
-    per_cell, tables, need = _plan(nodes.count())
+    kind = "<f4" if rows.schema["vector"].dataType == ArrayType(FloatType(), rows.schema["vector"].dataType.containsNull) else "<f8"
+    per_cell, tables, need = _plan(nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
     distance = math.sqrt(2 - 2 * cosine)
-    packed = nodes.select("id", "label", "copies", "vector").mapInArrow(_packed, "id long, label string, copies long, vector binary")
-    spread = staged(packed.mapInArrow(_cells(distance, per_cell, tables), "id long, label string, copies long, vector binary, cells array<long>"), "cells")
+    packed = nodes.select("id", "label", "copies", "vector").mapInArrow(_packed(kind), "id long, label string, copies long, vector binary")
+    spread = staged(packed.mapInArrow(_cells(distance, per_cell, tables, kind), "id long, label string, copies long, vector binary, cells array<long>, short binary"), "cells")
     keys = spread.select("id", "label", F.posexplode("cells").alias("place", "cell"))
     full = keys.groupBy("label", "place", "cell").agg(F.count("*").alias("n")).filter("n > 1").select("label", "place", "cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     dealt = keys.join(full, ["label", "place", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("label", "place", "cell", "id", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    found = dealt.join(spread.select("id", "copies", "vector", "cells"), "id").groupBy("label", "place", "cell", "bi", "bj").applyInArrow(_count(cosine, distance, need), "id long, links long, low long")
+    found = dealt.join(spread.select("id", "copies", "vector", "short"), "id").groupBy("label", "place", "cell", "bi", "bj").applyInArrow(_count(cosine, distance, need, kind), "id long, links long, low long")
     found = staged(found, "found")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
