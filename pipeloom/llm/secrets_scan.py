@@ -1,11 +1,15 @@
 """Secret scans: fixed formats, and random strings by their token efficiency.
 
-Natural words and identifiers cost few tokens under a byte-pair vocabulary, random strings many: a run of token-like
-characters with fewer than `ratio` characters a token is reported as `random`; of a run with more, each stretch of tokens
-that has fewer, widened to the separators around it where it keeps that ratio. Known digests (hex of a digest's length),
-UUIDs and spans of a fixed format are cut out of the runs first; what has no letter, or under LEAST characters, is left.
-
-Null and empty texts have no spans; whole texts are scanned in time linear in their length.
+Natural words and identifiers cost few tokens under a byte-pair vocabulary, random strings many: a run of printable
+characters with few characters a token is reported as `random`; of a run with more, each stretch of tokens that has few,
+widened to the separators around it where it keeps that ratio. What counts as few, and how many kinds of characters
+(lower case, upper case, both mixed inside, digits) are asked for, depends on the length, since short natural runs scatter
+more (LIMITS): from 20 characters on the ratio alone decides, unless the run has other symbols than base64's and
+identifiers'. Known digests (hex of a digest's length), UUIDs and spans of a fixed format are cut out of the runs first.
+Runs below 12 characters can't be told from words and are left.
+
+Null and empty texts have no spans; whole texts are scanned in time linear in their length, however long; repeated rows
+get equal spans; an empty table gives an empty result; other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -22,14 +26,21 @@ from pyspark.sql import functions as F
 from pipeloom.llm.spans import SPANS
 
 KINDS = ["assign", "access", "hex", "random"]
-RATIO, LEAST = 2.2, 20
+RATIO = 2.2
+#: From so many characters on: the ratio as a share of the parameter, and the kinds of characters asked for.
+LIMITS = [(12, 0.8, 3), (16, 0.82, 2), (20, 1.0, 1)]
+LEAST = LIMITS[0][0]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _WORD = re.compile(r"p(?:assword|asswd)|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+_RUN = re.compile(r"[!-~]{%d,}" % LEAST)
+#: Runs that can pass at all: of 20 characters, or with a digit or a capital that doesn't begin them.
+_HOPEFUL = re.compile(r"[0-9]|.[A-Z]")
+_PLAIN = re.compile(r"[A-Za-z0-9+/_=-]*\Z")
 _KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})(?![A-Za-z0-9])", re.IGNORECASE)
-_LETTER, _PART = re.compile("[A-Za-z]"), re.compile("[A-Za-z0-9+]+")
+_KINDS_OF = [re.compile(x) for x in ("[a-z]", "[0-9]", "[A-Z]", "[a-z0-9][A-Z]")]
+_PART = re.compile("[A-Za-z0-9+]+")
 
 
 @lru_cache(maxsize=2)
@@ -50,10 +61,23 @@ def _formats(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
 
 
+def _is_random(s: str, i: int, j: int, tokens: int, ratio: float) -> bool:
+    """Whether the part of s from i to j, of so many tokens, is a random string."""
+    n = j - i
+    if n < LEAST:
+        return False
+    _, share, kinds = next(x for x in reversed(LIMITS) if n >= x[0])
+    if n >= share * ratio * tokens:
+        return False
+    if not _PLAIN.match(s, i, j):
+        kinds = max(kinds, 3)
+    return sum(k.search(s, i, j) is not None for k in _KINDS_OF) >= kinds and not s[i:j].isdigit()
+
+
 def _stretches(s: str, encoding, ratio: float) -> list[tuple[int, int]]:
-    """Where s has fewer than ratio characters a token: all of it, or stretches of tokens in it, in linear time."""
+    """Where s has few characters a token: all of it, or stretches of tokens in it, in linear time."""
     tokens = encoding.encode_ordinary(s)
-    if len(s) < ratio * len(tokens):
+    if _is_random(s, 0, len(s), len(tokens), ratio):
         return [(0, len(s))]
     peaks, at, begin, total, best, end = [], 0, 0, 0.0, 0.0, 0
     for t in tokens:
@@ -80,7 +104,7 @@ def _stretches(s: str, encoding, ratio: float) -> list[tuple[int, int]]:
         if found and wide[0] < found[-1][1]:
             wide = (a, b)
         for i, j in dict.fromkeys((wide, (a, b))):
-            if j - i >= LEAST and _LETTER.search(s, i, j) and j - i < ratio * len(encoding.encode_ordinary(s[i:j])):
+            if j - i >= LEAST and _is_random(s, i, j, len(encoding.encode_ordinary(s[i:j])), ratio):
                 found.append((i, j))
                 break
     return found
@@ -91,6 +115,8 @@ def _random(text: str, taken: list[tuple[int, int, int]], encoding, ratio: float
     spans = sorted((a, b) for a, _, b in taken)
     k = 0
     for m in _RUN.finditer(text):
+        if m.end() - m.start() < LIMITS[-1][0] and not _HOPEFUL.search(text, m.start(), m.end()):
+            continue
         while k < len(spans) and spans[k][1] <= m.start():
             k += 1
         cuts, j = [x.span() for x in _KNOWN.finditer(text, m.start(), m.end())], k
@@ -99,7 +125,7 @@ def _random(text: str, taken: list[tuple[int, int, int]], encoding, ratio: float
             j += 1
         at = m.start()
         for a, b in [*sorted(cuts), (m.end(), m.end())]:
-            if a - at >= LEAST and _LETTER.search(text, at, a):
+            if a - at >= LEAST:
                 found += [(at + i, 3, at + j) for i, j in _stretches(text[at:a], encoding, ratio)]
             at = max(at, b)
     return found
