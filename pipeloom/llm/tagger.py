@@ -1,4 +1,8 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy."""
+"""A character-level bidirectional LSTM with CRF transitions, in numpy.
+
+The activations are softsigns, x / (1 + |x|), and gates run from 0 to 1 along the same curve: a fraction of the cost of
+exponentials, which decides what whole texts cost to tag.
+"""
 
 from __future__ import annotations
 
@@ -17,8 +21,8 @@ def symbols(text: str) -> np.ndarray:
     return codes
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _soft(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
 
 
 class Tagger:
@@ -32,31 +36,45 @@ class Tagger:
             self.p["W" + d] = r.normal(0, 0.25, (embed + hidden, 4 * hidden))
             self.p["c" + d] = np.concatenate((np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)))
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self._mean: float | None = None
 
-    def _lstm(self, x: np.ndarray, d: str, keep: list | None) -> np.ndarray:
-        n, steps, _ = x.shape
-        H, W, bias = self.hidden, self.p["W" + d], self.p["c" + d]
-        e = x.shape[2]
-        inner = x.reshape(n * steps, e) @ W[:e] + bias
-        inner = inner.reshape(n, steps, 4 * H)
-        h, c = np.zeros((n, H), np.float32), np.zeros((n, H), np.float32)
-        out = np.zeros((n, steps, H), np.float32)
+    def _lstm(self, ids: np.ndarray, d: str, keep: list | None) -> np.ndarray:
+        """Hidden states by time, unit and row. Gates are input, forget, output, then the candidate."""
+        n, steps = ids.shape
+        H, E = self.hidden, self.p["E"]
+        e = E.shape[1]
+        W = np.ascontiguousarray(np.concatenate((self.p["W" + d], self.p["c" + d][None])).T)
+        seen = np.zeros((e + H + 1, n), E.dtype)  # the symbol, the state before it and one for the bias
+        seen[-1] = 1
+        E, ids = np.ascontiguousarray(E.T), np.ascontiguousarray(ids.T)
+        h, c = np.zeros((H, n), E.dtype), np.zeros((H, n), E.dtype)
+        out = np.zeros((steps, H, n), E.dtype)
+        z, size = np.empty((4 * H, n), E.dtype), np.empty((4 * H, n), E.dtype)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = inner[:, t] + h @ W[e:]
-            g = _sigmoid(z[:, : 3 * H])
-            u = np.tanh(z[:, 3 * H :])
+            seen[:e] = E.take(ids[t], axis=1)
+            seen[e : e + H] = h
+            z = W @ seen if keep is not None else np.matmul(W, seen, out=z)
+            np.abs(z, out=size)
+            size += 1
+            z /= size
+            g, u = z[: 3 * H], z[3 * H :]
+            g *= 0.5
+            g += 0.5
             before, c0 = h, c
-            c = g[:, H : 2 * H] * c + g[:, :H] * u
-            tc = np.tanh(c)
-            h = g[:, 2 * H : 3 * H] * tc
-            out[:, t] = h
+            c = g[H : 2 * H] * c
+            c += g[:H] * u
+            tc = _soft(c)
+            h = np.multiply(g[2 * H :], tc, out=out[t])
             if keep is not None:
-                keep.append((t, g, u, c0, tc, before))
+                keep.append((t, g.T, u.T, c0.T, tc.T, before.T))
         return out
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        x = self.p["E"][ids]
-        return np.concatenate((self._lstm(x, "f", None), self._lstm(x, "b", None)), axis=2) @ self.p["O"] + self.p["o"]
+        """Scores by time, tag and row."""
+        em = self.p["O"][: self.hidden].T @ self._lstm(ids, "f", None)
+        em += self.p["O"][self.hidden :].T @ self._lstm(ids, "b", None)
+        em += self.p["o"][:, None]
+        return em
 
     def gradients(self, ids: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the gold tag sequences, and its gradients."""
@@ -64,7 +82,7 @@ class Tagger:
         H, g = self.hidden, {k: np.zeros_like(v) for k, v in self.p.items()}
         x = self.p["E"][ids]
         kept: dict[str, list] = {"f": [], "b": []}
-        hs = np.concatenate((self._lstm(x, "f", kept["f"]), self._lstm(x, "b", kept["b"])), axis=2)
+        hs = np.ascontiguousarray(np.concatenate((self._lstm(ids, "f", kept["f"]), self._lstm(ids, "b", kept["b"])), axis=1).transpose(2, 0, 1))
         em = (hs @ self.p["O"] + self.p["o"]).astype(np.float64)
         T = self.p["T"].astype(np.float64)
         a, b = np.zeros_like(em), np.zeros_like(em)
@@ -94,6 +112,7 @@ class Tagger:
         g["o"] = d_em.sum(axis=(0, 1))
         d_hs = d_em @ self.p["O"].T
         e = x.shape[2]
+        slope = lambda g: 0.5 * (1 - np.abs(2 * g - 1)) ** 2
         d_x = np.zeros_like(x)
         for d, dh_all in (("f", d_hs[:, :, :H]), ("b", d_hs[:, :, H:])):
             W = self.p["W" + d]
@@ -103,8 +122,8 @@ class Tagger:
             for t, gate, u, c0, tc, before in reversed(kept[d]):
                 i, f, o = gate[:, :H], gate[:, H : 2 * H], gate[:, 2 * H :]
                 dh = dh + dh_all[:, t]
-                dc = dc + dh * o * (1 - tc * tc)
-                dz = np.concatenate((dc * u * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - u * u)), axis=1)
+                dc = dc + dh * o * (1 - np.abs(tc)) ** 2
+                dz = np.concatenate((dc * u * slope(i), dc * c0 * slope(f), dh * tc * slope(o), dc * i * (1 - np.abs(u)) ** 2), axis=1)
                 d_inner[:, t] = dz
                 dU += before.T @ dz
                 dh, dc = dz @ W[e:].T, dc * f
@@ -115,12 +134,14 @@ class Tagger:
         np.add.at(g["E"], ids.ravel(), d_x.reshape(n * steps, e))
         return float((z - score).mean()), g
 
-    def fit(self, ids: np.ndarray, gold: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 6) -> float:
-        """Adam over shuffled batches; returns the last epoch's mean loss."""
+    def fit(self, ids: np.ndarray, gold: np.ndarray, most_epochs: int = 40, batch: int = 64, rate: float = 0.02, enough: float = 0.4, seed: int = 6) -> float:
+        """Adam over shuffled batches until the loss of a window settles: until three epochs in a row bring less than a
+        twentieth, or it is at most `enough`; returns the last epoch's mean loss. The rate falls with each epoch that brings little."""
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        step, loss = 0, 0.0
-        for _ in range(epochs):
+        self._mean = None
+        step, best, idle = 0, np.inf, 0
+        for _ in range(most_epochs):
             order, losses = r.permutation(len(ids)), []
             for i in range(0, len(ids), batch):
                 step += 1
@@ -132,16 +153,57 @@ class Tagger:
                     v[k] = 0.999 * v[k] + 0.001 * grad * grad
                     self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
             loss = float(np.mean(losses))
+            idle, rate = (0, rate) if loss < 0.95 * best else (idle + 1, rate / 2)
+            best = min(best, loss)
+            if idle == 3 or loss <= enough:
+                break
         return loss
 
-    def decode(self, em: np.ndarray) -> np.ndarray:
-        """The best tag sequence of one row of emissions."""
-        T, score, back = self.p["T"], em[0], np.zeros(em.shape, np.int64)
-        for t in range(1, len(em)):
-            m = score[:, None] + T
-            back[t] = m.argmax(axis=0)
-            score = m.max(axis=0) + em[t]
-        tags = [int(score.argmax())]
-        for t in range(len(em) - 1, 0, -1):
-            tags.append(int(back[t, tags[-1]]))
-        return np.array(tags[::-1])
+    def hot(self, em: np.ndarray) -> np.ndarray:
+        """By time and row: characters that may lie off tag 0 on a best path.
+
+        A stretch of n characters off tag 0 takes n + 1 transitions on a closed walk, which bring at most n + 1 times the
+        largest mean of a cycle, all against staying at 0; where every other tag's score is lower by over twice that,
+        none pays.
+        """
+        if self._mean is None:
+            self._mean = self._cycle_mean()
+        return em[:, 0] - em[:, 1:].max(axis=1) <= 2 * self._mean
+
+    def _cycle_mean(self) -> float:
+        gain = self.p["T"].astype(np.float64) - float(self.p["T"][0, 0])
+        low, high = 0.0, max(float(gain.max()), 0.0) + 1e-6
+        for _ in range(30):
+            middle = (low + high) / 2
+            walk = gain - middle
+            for k in range(self.tags):
+                walk = np.maximum(walk, walk[:, k, None] + walk[None, k])
+            low, high = (middle, high) if walk.diagonal().max() > 0 else (low, middle)
+        return high
+
+    def decode(self, rows: list[np.ndarray], together: int = 256) -> list[np.ndarray]:
+        """The best tag sequence of each row of emissions; rows of like length go together."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(rows)
+        order = sorted((i for i in range(len(rows)) if len(rows[i])), key=lambda i: len(rows[i]))
+        T = self.p["T"]
+        for s in range(0, len(order), together):
+            some = order[s : s + together]
+            steps = len(rows[some[-1]])
+            em = np.full((len(some), steps, self.tags), -1e4, np.float32)
+            em[:, :, 0] = 0  # beyond its end a row stays at tag 0
+            for k, i in enumerate(some):
+                em[k, : len(rows[i])] = rows[i]
+            score, back = em[:, 0], np.zeros((steps, len(some), self.tags), np.int8)
+            for t in range(1, steps):
+                m = score[:, :, None] + T
+                back[t] = m.argmax(axis=1)
+                score = m.max(axis=1) + em[:, t]
+            at, path = score.argmax(axis=1), np.zeros((steps, len(some)), np.int64)
+            each = np.arange(len(some))
+            path[-1] = at
+            for t in range(steps - 1, 0, -1):
+                at = back[t, each, at]
+                path[t - 1] = at
+            for k, i in enumerate(some):
+                out[i] = path[: len(rows[i]), k]
+        return out
