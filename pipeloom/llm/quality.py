@@ -7,6 +7,8 @@ mean word length, lengths) and each metadata column is one indicator of its bin.
 
 The model is fitted on the driver from at most `sample` labelled rows of each label, chosen by hash, weighted back to
 the labels' shares. Null and empty texts are scored from their statistics alone; without labels every score is 0.5.
+Texts of any length are scored whole; repeated rows get equal scores; an empty table gives an empty result; a column of
+docs that is named like the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from pipeloom.llm.words import Chunk, chunks
+from pipeloom.llm.columns import without
+from pipeloom.llm.words import Chunk, chunks, tidy
 
 WORD_BITS = 16
 FACTORS = 6
@@ -144,7 +148,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     """Fits on rows of labels with label 0 or 1; of several labels of one id the smallest counts."""
     marks = labels.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     total = {r.label: r.n for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    picked = [marks.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in total]
+    # a threshold on the hash comes before the sort, so what tasks hand on doesn't grow with the number of labels
+    few = {k: F.pmod(F.xxhash64("id"), F.lit(n)) < 2 * sample + 1000 if n > 4 * sample else F.lit(True) for k, n in total.items()}
+    picked = [marks.filter((F.col("label") == k) & few[k]).orderBy(F.xxhash64("id"), "id").limit(sample) for k in total]
     model = FactorMachine((1 << WORD_BITS) + (STATS + len(metadata)) * BINS)
     if len(picked) < 2:
         return model
@@ -159,7 +165,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
                 part = [[a[i:j].tobytes() for i, j in zip(first[:-1], first[1:])] for a in (feature.astype(np.int32), value)]
                 yield pa.RecordBatch.from_arrays([batch.column(len(metadata) + 1).slice(c.rows.start, len(first) - 1), *(pa.array(x, pa.binary()) for x in part)], names=["label", "feature", "value"])
 
-    got = rows.mapInArrow(run, "label int, feature binary, value binary").toPandas().sort_values(["label", "feature", "value"])
+    got = rows.mapInArrow(tidy(run), "label int, feature binary, value binary").toPandas().sort_values(["label", "feature", "value"])
     if not len(got):
         return model
     feature = [np.frombuffer(x, np.int32) for x in got.feature]
@@ -173,15 +179,15 @@ def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
 
 def score_quality(docs: DataFrame, model: FactorMachine, metadata: tuple[str, ...] = (), text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a double column score_col from 0 to 1: how likely label 1 is."""
-    from pyspark.sql.types import DoubleType, StructType
+    docs = without(docs, score_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             extra = _numbers(batch, list(metadata))
             scores = [np.zeros(0)]
-            for c in chunks(batch.column(text_col)):
+            for c in chunks(batch.column(text_col), 1 << 18):
                 y = model.margins(*_features(c, [x[c.rows] for x in extra]))
                 scores.append(1 / (1 + np.exp(-y.astype(np.float64))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], names=[*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(score_col, DoubleType()))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields]).add(score_col, DoubleType()))

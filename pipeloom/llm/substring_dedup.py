@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipeloom.llm.words import chunks
+from pipeloom.llm.words import chunks, tidy
 from pipeloom.shared import staged
 
 LEVELS = (1, 2, 4, 8)
@@ -230,16 +230,16 @@ def strip_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("text_key"), F.col(text_col).alias("text"))
     named = rows.filter("doc_id is not null and text is not null")
     seen = np.zeros((len(LEVELS) + 1, SLOTS), np.int64)
-    counted = named.select("text").mapInArrow(_census(window), "level int, slot int, n long").groupBy("level", "slot").agg(F.sum("n").alias("n"))
+    counted = named.select("text").mapInArrow(tidy(_census(window)), "level int, slot int, n long").groupBy("level", "slot").agg(F.sum("n").alias("n"))
     for r in counted.toLocalIterator():  # as many rows as there are slots at most
         seen[r.level, r.slot] = r.n
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     group_of, groups = _deal(seen, max(1, min(group_suffixes, int(seen[0].sum()) // least)))
     groups = max(groups, 1)
-    leaves = named.mapInArrow(_leaves(window, group_of, groups), _PACKED)
+    leaves = named.mapInArrow(tidy(_leaves(window, group_of, groups)), _PACKED)
     marks = leaves.groupBy("grp").applyInArrow(_trees(groups), _PACKED)
     spans = staged(marks.groupBy("grp").applyInArrow(_spans(window), "id long, text_key int, spans binary"), "spans")
     if (spans.agg(F.sum(F.length("spans") + 16)).first()[0] or 0) <= BROADCAST_BYTES:
         spans = F.broadcast(spans)
     joined = rows.join(spans, (rows.doc_id == spans.id) & (rows.text_key == spans.text_key), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<array<long>>")
+    return joined.select("doc_id", "text", "spans").mapInArrow(tidy(_strip), "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<array<long>>")

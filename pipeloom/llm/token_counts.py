@@ -4,7 +4,8 @@ A text is cut at special strings, which count one each, then into pre-tokens. A
 symbols; the adjacent pair of lowest rank is merged, the leftmost first, until no pair has a rank. Its count is the
 initial symbols less the merges. Counts of short word units are remembered in a table of bounded size.
 
-Null texts count as empty; whole texts are counted, however long.
+Null texts count as empty; whole texts are counted, however long; repeated rows get equal counts; an empty table gives
+an empty result; columns of docs that are named like an added one are replaced by it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
+
+from pipeloom.llm.columns import without
 
 REMEMBERED = 400_000
 LONG_UNIT = 48
@@ -140,6 +144,7 @@ def _counter(vocabulary: str) -> Counter:
 
 def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", count_col: str = "n_tokens") -> DataFrame:
     """docs with a long column count_col: tokens of text_col under the byte-level vocabulary file (the same path on every node)."""
+    docs = without(docs, count_col) if count_col != text_col else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(vocabulary)
@@ -148,21 +153,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", count
             counts = [counter.text(t) if t else 0 for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, count_col])
 
-    from pyspark.sql.types import LongType, StructType
-
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(count_col, LongType()))
 
 
 def token_report(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    counted = rows.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(vocabulary)
-        for batch in batches:
-            counts = pa.array([counter.text(t) if t else 0 for t in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), counts], names=["doc_id", "n_bytes", "n_tokens"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return counted.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    return count_tokens(rows, vocabulary).drop("text").withColumn("over_limit", F.col("n_tokens") > limit)
