@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pipeloom.llm.columns import unused
 from pipeloom.llm.decontaminate import find_contamination
 from pipeloom.llm.line_dedup import drop_repeated_lines
 from pipeloom.llm.near_duplicates import near_duplicates
@@ -18,6 +19,7 @@ from pipeloom.llm.quality import score_quality, train_quality
 from pipeloom.shared import load, staged
 
 BROADCAST_IDS = 2_000_000
+METADATA = ("n_chars",)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -25,21 +27,22 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     gone = staged(gone.select("doc_id").distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:  # 8 bytes each; beyond it the join shuffles
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more by the factorisation machine."""
     labels = load(spark, sf_dir, "labels").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    model = train_quality(docs, labels)
-    return score_quality(docs, model, score_col="_score").filter("_score >= 0.5").drop("_score")
+    model = train_quality(docs, labels, metadata=METADATA)
+    [score] = unused(docs, "score")
+    return score_quality(docs, model, metadata=METADATA, score_col=score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs; those of which nothing is left go."""
     left = drop_repeated_lines(docs).filter("n_removed = 0 or n_removed < n_lines")
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", changed).select(*docs.columns)
+    return left.withColumn("n_chars", changed).select(*(f"`{c}`" for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
