@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pipeloom.functions.reference import GABARITS
 from pipeloom.operators.lines import along, distance, edges, islands, project, samples, simplified, spaced, subline, to_segment
-from pipeloom.operators.spatial import _cells, points_in_boxes, routes_in_boxes
+from pipeloom.operators.spatial import _cells, crossings, points_in_boxes, routes_in_boxes
 from pipeloom.plans.network import _P, _ROUTES, _clipped, routes
 from pipeloom.shared import load
 from pipeloom.sources.views import sql_views, view
@@ -201,9 +201,15 @@ def common_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("route_id", "other_id", F.round(F.when(F.size(first) > 0, (F.element_at(first, 1) - 1) * 0.5).otherwise(F.col("most") * 0.5), 6).alias("prefix_m"))
 
 
+def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proper crossings among the edges of all pipes; an edge's number is four times its pipe's, and its place in it."""
+    e = _edges(spark, sf_dir).select((F.col("line_id") * 4 + F.col("seq")).alias("route_id"), "ax", "ay", "bx", "by")
+    return crossings(e, 25.0)
+
+
 def near_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of pipes whose first edges come within 0.3 m of each other by a vertex, away from common ends."""
-    e = _edges(spark, sf_dir).filter("seq = 0").select("line_id", "ax", "ay", "bx", "by")
+    """Pairs of pipes of which a vertex of one comes within 0.3 m of an edge of the other, over 1.05 m from its ends."""
+    e = _edges(spark, sf_dir).select("line_id", "ax", "ay", "bx", "by")
     ends = e.select(F.col("line_id").alias("other_id"), F.explode(F.array(F.struct(F.col("ax").alias("px"), F.col("ay").alias("py")), F.struct(F.col("bx").alias("px"), F.col("by").alias("py")))).alias("p")).select("other_id", "p.px", "p.py")
     cell = lambda x, y: F.struct(F.floor(x / 25).alias("cx_"), F.floor(y / 25).alias("cy_"))
     spread = e.withColumn("cell", _cells(F.least("ax", "bx") - 0.3, F.greatest("ax", "bx") + 0.3, F.least("ay", "by") - 0.3, F.greatest("ay", "by") + 0.3, 25.0))
@@ -235,6 +241,7 @@ def _off(p: int, a: int, b: int) -> str:
     t = f"greatest(0.0, least(1.0, ((x{p} - x{a}) * {dx} + (y{p} - y{a}) * {dy}) / ({dx} * {dx} + {dy} * {dy})))"
     return f"round(sqrt((x{p} - x{a} - {dx} * {t}) * (x{p} - x{a} - {dx} * {t}) + (y{p} - y{a} - {dy} * {t}) * (y{p} - y{a} - {dy} * {t})), 9)"
 
+_SIDE = "(({o}.bx - {o}.ax) * ({y} - {o}.ay) - ({o}.b_y - {o}.ay) * ({p}x - {o}.ax))"
 
 QUERIES = {
     "line_chainage": (line_chainage, f"with {_V}, s as (select *, coalesce(sqrt((x - lag(x) over w) * (x - lag(x) over w) + (y - lag(y) over w) * (y - lag(y) over w)), 0.0::double) as step from vertex window w as (partition by line_id order by seq)) select line_id, seq, round(sum(step) over (partition by line_id order by seq), 6) as at_m from s"),
@@ -269,7 +276,9 @@ QUERIES = {
     "common_prefix": (common_prefix, f"""{_P}, {_ROUTES}, b as (select p.route_id, q.route_id as other_id, sqrt((p.ax - p.bx) * (p.ax - p.bx) + (p.ay - p.b_y) * (p.ay - p.b_y)) as l1, sqrt((q.ax - p.bx) * (q.ax - p.bx) + (q.ay - p.b_y) * (q.ay - p.b_y)) as l2, p.ax - p.bx as px, p.ay - p.b_y as py, q.ax - p.bx as qx, q.ay - p.b_y as qy from routes p join routes q on q.route_id = p.route_id + (select count(*) from chamber)),
   d as (select *, sqrt((px / l1 - qx / l2) * (px / l1 - qx / l2) + (py / l1 - qy / l2) * (py / l1 - qy / l2)) as drift, floor(least(l1, l2, 60.0) / 0.5)::bigint as most from b where l1 > 0 and l2 > 0),
   f as (select *, list_filter(range(1, greatest(most, 1) + 1), lambda k: round(k * 0.5 * drift, 6) > 1.5) as over from d) select route_id, other_id, round(case when len(over) > 0 then (over[1] - 1) * 0.5 else most * 0.5 end, 6) as prefix_m from f"""),
-    "near_overlaps": (near_overlaps, f"""with {_E}, one as (select * from edge where seq = 0), o as (select line_id as other_id, ax as x, ay as y from one union all select line_id, bx, b_y from one),
+    "segment_crossings": (segment_crossings, f"""with {_E}, e as materialized (select line_id * 4 + seq as id, ax, ay, bx, b_y, floor((ax + bx) / 80)::bigint as gx, floor((ay + b_y) / 80)::bigint as gy from edge),
+  f as (select *, gx + i as px, gy + j as py from e, (values (-1), (0), (1)) v(i), (values (-1), (0), (1)) w(j)) select p.id as a, q.id as b from e p join f q on q.px = p.gx and q.py = p.gy and p.id < q.id and {_SIDE.format(o='p', p='q.a', y='q.ay')} * {_SIDE.format(o='p', p='q.b', y='q.b_y')} < 0 and {_SIDE.format(o='q', p='p.a', y='p.ay')} * {_SIDE.format(o='q', p='p.b', y='p.b_y')} < 0"""),
+    "near_overlaps": (near_overlaps, f"""with {_E}, one as (select * from edge), o as materialized (select line_id as other_id, ax as x, ay as y from one union all select line_id, bx, b_y from one),
   m as (select line_id, other_id, o.x, o.y, ax, ay, bx, b_y, {_T} as t from one join o on line_id <> other_id and o.x between least(ax, bx) - 0.3 and greatest(ax, bx) + 0.3 and o.y between least(ay, b_y) - 0.3 and greatest(ay, b_y) + 0.3)
   select distinct least(line_id, other_id) as a, greatest(line_id, other_id) as b from m where (x - ax - (bx - ax) * t) * (x - ax - (bx - ax) * t) + (y - ay - (b_y - ay) * t) * (y - ay - (b_y - ay) * t) < 0.09 and (x - ax) * (x - ax) + (y - ay) * (y - ay) > 1.05::double * 1.05 and (x - bx) * (x - bx) + (y - b_y) * (y - b_y) > 1.05::double * 1.05"""),
 }

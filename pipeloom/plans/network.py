@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pipeloom.operators.components import components
-from pipeloom.operators.spatial import clusters, crossings, elementary_pieces, nearest, points_in_boxes, routes_in_boxes, within
+from pipeloom.operators.spatial import clusters, elementary_pieces, nearest, points_in_boxes, routes_in_boxes, within
 from pipeloom.operators.tree import bfs, on_cycle
 from pipeloom.shared import load
 from pipeloom.sources.views import sql_views, view
@@ -132,14 +132,6 @@ def weighted_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes(spark, sf_dir).join(extra, "route_id", "left").select("route_id", F.round(length * (F.coalesce("extra", F.lit(0.0)) + 1), 3).alias("weighted_m"))
 
 
-def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proper crossings among the tree's edges that are no longer than 200 m."""
-    tree = view(spark, sf_dir, "tree").select("node_id", "parent_id", "x", "y")
-    up = tree.select(F.col("node_id").alias("parent_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    edges = tree.join(up, "parent_id").select(F.col("node_id").alias("route_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
-    return crossings(edges.filter("(ax - bx) * (ax - bx) + (ay - by) * (ay - by) <= 40000"), 60.0)
-
-
 _P = f"with {sql_views('oks', 'chamber', 'tree', 'restriction')}"
 _D2 = "(o.x - c.x) * (o.x - c.x) + (o.y - c.y) * (o.y - c.y)"
 _NEAR = f"near_c as (select oks_id, chamber_id, d2 from (select oks_id, chamber_id, {_D2} as d2, row_number() over (partition by oks_id order by {_D2}, chamber_id) as r from oks o join chamber c on c.x between o.x - 10 and o.x + 10 and {_D2} <= 100) where r = 1)"
@@ -167,7 +159,6 @@ _SPECIAL = _clipped("3", "'road', 'tram_tracks'") + """, spans as (select route_
   cuts as materialized (select route_id, cut, lead(cut) over (partition by route_id order by cut) as stop from (select route_id, lo as cut from spans union select route_id, hi from spans)),
   pieces as (select c.route_id, c.cut as lo, c.stop as hi, max(k) as k from cuts c join spans s on s.route_id = c.route_id and s.lo <= c.cut and c.stop <= s.hi group by 1, 2, 3)"""
 _AREA = "area as (select oks_id, x, y, c_nationkey as area from oks join customer on c_custkey = oks_id)"
-_S = "(({o}.bx - {o}.ax) * ({p}y - {o}.ay) - ({o}.by - {o}.ay) * ({p}x - {o}.ax))"
 
 QUERIES = {
     "snap_nearest_chamber": (snap_nearest_chamber, f"{_P}, {_NEAR} select oks_id, chamber_id, round(d2, 6) as d2 from near_c"),
@@ -186,5 +177,4 @@ QUERIES = {
     "segment_blocked_box": (segment_blocked_box, f"{_P}, {_clipped('0.99', repr('park') + ', ' + ', '.join(map(repr, ('social_area', 'prohibited_site', 'water', 'railway'))))} select route_id, count(*) as n_zones, min(restriction_id) as first_zone from met where enter <= leave group by route_id"),
     "special_sections": (special_sections, f"{_P}, {_SPECIAL} select route_id, lo, hi, k from pieces"),
     "weighted_length": (weighted_length, f"{_P}, {_SPECIAL} select route_id, round(sqrt((ax - bx) * (ax - bx) + (ay - b_y) * (ay - b_y)) * (coalesce(extra, 0.0) + 1), 3) as weighted_m from routes left join (select route_id, sum((hi - lo) * (k - 1)) as extra from pieces group by 1) using (route_id)"),
-    "segment_crossings": (segment_crossings, f"{_P}, e as (select t.node_id as id, t.x as ax, t.y as ay, u.x as bx, u.y as by from tree t join tree u on u.node_id = t.parent_id where (t.x - u.x) * (t.x - u.x) + (t.y - u.y) * (t.y - u.y) <= 40000) select p.id as a, q.id as b from e p join e q on p.id < q.id and {_S.format(o='p', p='q.a')} * {_S.format(o='p', p='q.b')} < 0 and {_S.format(o='q', p='p.a')} * {_S.format(o='q', p='p.b')} < 0"),
 }
