@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pipeloom.operators.components import components
+from pipeloom.operators.ranks import rank_in_blocks
 from pipeloom.operators.spatial import clusters, elementary_pieces, nearest, points_in_boxes, routes_in_boxes, within
 from pipeloom.operators.tree import bfs, on_cycle
 from pipeloom.shared import load
@@ -87,14 +88,15 @@ def median_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of each market segment in two halves along the longer side of their box."""
     oks = view(spark, sf_dir, "oks").join(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("oks_id"), F.col("c_nationkey").alias("area")), "oks_id")
     box = oks.groupBy("area").agg((F.max("x") - F.min("x") >= F.max("y") - F.min("y")).alias("wide"), F.count("*").alias("n"))
-    along = F.when(F.col("wide"), F.col("x")).otherwise(F.col("y"))
-    rank = F.row_number().over(Window.partitionBy("area").orderBy(along, "oks_id"))
-    return oks.join(box, "area").select("oks_id", "area", F.when(rank - 1 < F.floor(F.col("n") / 2), 0).otherwise(1).alias("half"))
+    placed = oks.join(box, "area").withColumn("along", F.when(F.col("wide"), F.col("x")).otherwise(F.col("y")))
+    ranked = rank_in_blocks(placed, "area", F.floor(F.col("along") / 10), ["along", "oks_id"])
+    return ranked.select("oks_id", "area", F.when(F.col("rank") - 1 < F.floor(F.col("n") / 2), 0).otherwise(1).alias("half"))
 
 
 def chunk_six(spark: SparkSession, sf_dir: str) -> DataFrame:
     area = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("oks_id"), F.col("c_nationkey").alias("area"))
-    return area.select("oks_id", "area", F.floor((F.row_number().over(Window.partitionBy("area").orderBy("oks_id")) - 1) / 6).cast("bigint").alias("chunk"))
+    ranked = rank_in_blocks(area, "area", F.floor(F.col("oks_id") / 10_000), ["oks_id"])
+    return ranked.select("oks_id", "area", F.floor((F.col("rank") - 1) / 6).cast("bigint").alias("chunk"))
 
 
 def own_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:

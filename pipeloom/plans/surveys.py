@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pipeloom.functions.reference import BUILDING_OFFSETS, GABARITS, RULES, UTILITIES, band
+from pipeloom.operators.ranks import two_largest
 from pipeloom.plans.network import routes
 from pipeloom.shared import load
 from pipeloom.sources.views import sql_views, view
@@ -73,7 +74,7 @@ def depth_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def depth_ramps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plateaus of 4 m at utility crossings along each route, merged where the gap is shorter than both ramps."""
     depth = depth_choice(spark, sf_dir).filter("depth is not null").select("restriction_id", "depth")
-    at = view(spark, sf_dir, "restriction").join(depth, "restriction_id").select(F.pmod(F.col("restriction_id") * 7, F.lit(10)).alias("route_id"), (F.col("restriction_id") % 997 * 3.0).alias("m"), "depth", "restriction_id")
+    at = view(spark, sf_dir, "restriction").join(depth, "restriction_id").select(F.floor(F.col("restriction_id") / 40).cast("bigint").alias("route_id"), (F.col("restriction_id") % 997 * 3.0).alias("m"), "depth", "restriction_id")
     w = Window.partitionBy("route_id").orderBy("m", "restriction_id")
     need = lambda h: F.abs(h - 3.0) / 0.1
     gap = F.col("m") - F.lag("m").over(w) - 4.0
@@ -105,8 +106,7 @@ def hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 1000).cast("double").alias("x"), (F.col("o_orderkey") * 37 % 991).cast("double").alias("y"))
     c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
     busy = o.join(c, "o_custkey").groupBy("nation", "o_custkey").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("nation").orderBy(F.desc("n"), "o_custkey"))
-    two = busy.select("nation", "o_custkey", rank.alias("r")).filter("r <= 2")
+    two = two_largest(busy, "nation", "n", "o_custkey").withColumnRenamed("place", "r")
     pts = o.join(two, "o_custkey").select("nation", "r", "x", "y", F.monotonically_increasing_id().alias("p"))
     other = pts.select("nation", (3 - F.col("r")).alias("r"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     d2 = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
@@ -152,7 +152,7 @@ QUERIES = {
     "event_props_json": (event_props_json, "select event_id, json_extract_string(props, '$.k') as k, length(props)::bigint as n from events"),
     "restriction_zone_box": (restriction_zone_box, f"{_V('restriction')} select restriction_id, dn, round(half_w + {_GROW}, 6) as half_w, round(half_h + {_GROW}, 6) as half_h from restriction, (values (100), (600), (1200)) d(dn)"),
     "depth_choice": (depth_choice, _DEPTH + " select restriction_id, rules_key, depth, round(1 + 0.1::double * greatest(depth - 3, 0), 9) as k_depth from chosen"),
-    "depth_ramps": (depth_ramps, _DEPTH + """, a as (select (restriction_id * 7) % 10 as route_id, restriction_id % 997 * 3.0::double as m, depth, restriction_id from chosen where depth is not null),
+    "depth_ramps": (depth_ramps, _DEPTH + """, a as (select (restriction_id // 40)::bigint as route_id, restriction_id % 997 * 3.0::double as m, depth, restriction_id from chosen where depth is not null),
   g as (select *, lag(m) over w as m0, lag(depth) over w as d0 from a window w as (partition by route_id order by m, restriction_id)),
   p as (select *, sum(case when m0 is null or round(m - m0 - 4, 6) >= round(abs(depth - 3) / 0.1::double + abs(d0 - 3) / 0.1::double, 6) then 1 else 0 end) over (partition by route_id order by m, restriction_id)::bigint as plateau from g)
   select route_id, plateau, min(m) - 2 as start_m, max(m) + 2 as stop_m, case when max(depth) <= 3 then min(depth) else max(depth) end as depth from p group by 1, 2"""),
