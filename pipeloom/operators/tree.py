@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pipeloom.shared import staged
 
-KEPT, ROUNDS = 8, 64
+KEPT, ROUNDS, SHORT = 8, 64, 64
+
 
 def _kept(state: DataFrame, label: str) -> tuple[DataFrame, int]:
     """The staged state, and how many of its pointers lead on, counted while it is written."""
@@ -20,13 +21,31 @@ def _rounds(nodes: DataFrame) -> int:
     return max(1, nodes.count().bit_length())
 
 
+def _short_paths(tree: DataFrame, node: str, parent: str) -> DataFrame | None:
+    """(n, path): every node with all its ancestors, by doubling; None where some have more than SHORT."""
+    up = F.col(parent)
+    state, going = _kept(tree.select(F.col(node).alias("n"), F.when(up.isNull(), F.array().cast("array<bigint>")).otherwise(F.array(up.cast("bigint"))).alias("path"), up.alias("up")), "paths")
+    for _ in range(SHORT.bit_length() - 1):
+        if not going:
+            break
+        hop = state.select(F.col("n").alias("up"), F.col("path").alias("more"), F.col("up").alias("up2"))
+        state, going = _kept(state.join(hop, "up", "left").select("n", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"), F.col("up2").alias("up")), "paths")
+    return None if going else state.select("n", "path")
+
+
 def roll_up(tree: DataFrame, value: str, out: str, kind: str = "decimal(18,2)", how=F.sum, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
     """(node, out): the sum (or max) of value over each node's subtree.
 
-    With S_k the aggregate over descendants nearer than 2^k and the 2^k-th ancestor as pointer, S_(k+1) adds the S_k of
+    Where no node has more than SHORT ancestors, each gives its value to all of them, summed before and after one shuffle. Else,
+    with S_k the aggregate over descendants nearer than 2^k and the 2^k-th ancestor as pointer, S_(k+1) adds the S_k of
     the nodes that point here. Nodes on or below a cycle raise an error, once as many pointers stay open as in the round before:
     on a tree every round closes some.
     """
+    paths = _short_paths(tree, node, parent)
+    if paths is not None:
+        own = tree.select(F.col(node).alias("n"), F.col(value).cast(kind).alias("s"))
+        given = own.select("n", F.lit(True).alias("own"), "s").unionByName(own.join(paths, "n").select(F.explode("path").alias("n"), F.lit(False).alias("own"), "s"))
+        return given.groupBy("n").agg(F.bool_or("own").alias("own"), how("s").cast(kind).alias(out)).filter("own").select(F.col("n").alias(node), out)
     state, going = _kept(tree.select(F.col(node).alias("n"), F.col(parent).alias("up"), F.col(value).cast(kind).alias("s")), "rollup")
     join_two = (lambda a, b: (a + b).cast(kind)) if how is F.sum else F.greatest
     for _ in range(ROUNDS):
