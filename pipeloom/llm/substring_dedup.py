@@ -7,12 +7,14 @@ first `window` words; leaves are brought into node order, and an internal node o
 documents is a repeat. Each leaf of such a node but those of the smallest doc_id marks `window` words for removal;
 overlapping marks make the maximal repeated spans.
 
-Nodes are told apart by a 64-bit fingerprint of the words within a group of one prefix. Leaves travel packed, one
-record for a piece of a task and a group; leaves of one node in a piece are settled there, and only those of its
+The tree is cut off at `window` words, since no deeper node changes what is removed, and its nodes carry fingerprints in
+the place of words: 64 bits, told apart within a group of one prefix only. Suffixes with all their words would take
+thirteen times the shuffle (104 bytes in the place of 8). Leaves travel packed, one record for a piece of a task and a group; leaves of one node in a piece are settled there, and only those of its
 smallest document go on. So the entries of a node in its group grow with the pieces, not with its copies.
 
 Null texts count as empty; rows with a null doc_id are returned whole and mark nothing; rows that share a doc_id are
-told apart by their text and don't mark each other; repeated rows get equal results.
+told apart by their text and don't mark each other; repeated rows get equal results. Texts may be of any length; an empty
+table gives an empty result; other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -28,27 +30,28 @@ from pipeloom.llm.words import chunks, tidy
 from pipeloom.shared import staged
 
 LEVELS = (1, 2, 4, 8)
-SLOTS = 4096
+SLOTS, MOST_SLOTS = 1 << 12, 1 << 20
 PIECE_BYTES = 1 << 21
 GROUP_SUFFIXES = 3_000_000
 BROADCAST_BYTES = 32 << 20
 _PACKED = "grp int, docs binary, texts binary, counts binary, steps binary, jumps binary, nodes binary"
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(52)).astype(np.int64)
+def _slots(h: np.ndarray, slots: int) -> np.ndarray:
+    """The leading bits of hashes; slots is a power of two."""
+    return (h >> np.uint64(65 - slots.bit_length())).astype(np.int64)
 
 
-def _census(window: int):
+def _census(window: int, slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((len(LEVELS) + 1, SLOTS), np.int64)
+        seen = np.zeros((len(LEVELS) + 1, slots), np.int64)
         for batch in batches:
             for c in chunks(batch.column(0)):
                 h = c.hashes()
                 whole = c.grams(h, window)[1]
                 for k, p in enumerate((*LEVELS, window)):
                     g = h if p == 1 else c.grams(h, min(p, window))[0]
-                    seen[k] += np.bincount(_slots(g[whole]), minlength=SLOTS)
+                    seen[k] += np.bincount(_slots(g[whole], slots), minlength=slots)
         k, slot = np.nonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(seen[k, slot])], names=["level", "slot", "n"])
 
@@ -107,13 +110,15 @@ def _unpack(rows: list[dict]) -> tuple[np.ndarray, ...]:
         head = np.cumsum(counts) - counts
         base = total[head] - step[head]
         doc.append(np.repeat(np.frombuffer(r["docs"], np.int64), counts))
-        text.append(np.repeat(np.frombuffer(r["texts"], np.int32), counts))
+        text.append(np.repeat(np.frombuffer(r["texts"], np.int64), counts))
         pos.append((total - np.repeat(base, counts)).astype(np.uint32))
     none = np.zeros(0, np.int64)
     return tuple(np.concatenate(x) if x else none for x in (doc, text, pos))
 
 
 def _leaves(window: int, group_of: np.ndarray, groups: int):
+    slots = group_of.shape[1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -126,11 +131,11 @@ def _leaves(window: int, group_of: np.ndarray, groups: int):
                 sizes = np.diff(c.first)
                 row = np.repeat(np.arange(c.rows.start, c.rows.stop), sizes)[whole]
                 pos = (np.arange(len(h)) - np.repeat(c.first[:-1], sizes))[whole]
-                group = group_of[0][_slots(h)][whole]
+                group = group_of[0][_slots(h, slots)][whole]
                 for k, p in enumerate((*LEVELS[1:], window), 1):
                     if not (deeper := group < 0).any():
                         break
-                    group[deeper] = group_of[k][_slots(c.grams(h, min(p, window))[0][whole][deeper])]
+                    group[deeper] = group_of[k][_slots(c.grams(h, min(p, window))[0][whole][deeper], slots)]
                 node = node[whole]
                 if not len(node):
                     continue
@@ -169,7 +174,7 @@ def _trees(groups: int):
             late = order[doc[order] > low]
             doc, text, pos = doc[late], text[late], pos[late]
         done = _unpack([r for r in rows if r["nodes"] is None])
-        doc, text, pos = (np.concatenate(x).astype(t) for *x, t in zip((doc, text, pos), done, (np.int64, np.int32, np.int64)))
+        doc, text, pos = (np.concatenate(x).astype(t) for *x, t in zip((doc, text, pos), done, (np.int64, np.int64, np.int64)))
         out = []
         if len(doc):
             to = doc % groups
@@ -198,7 +203,7 @@ def _spans(window: int):
             spans = [pairs[i:j].tobytes() for i, j in zip(heads, np.append(heads[1:], len(begin)))]
         else:
             spans = []
-        return pa.Table.from_arrays([pa.array(doc.astype(np.int64)), pa.array(text.astype(np.int32)), pa.array(spans, pa.binary())], names=["id", "text_key", "spans"])
+        return pa.Table.from_arrays([pa.array(doc.astype(np.int64)), pa.array(text.astype(np.int64)), pa.array(spans, pa.binary())], names=["id", "text_key", "spans"])
 
     return run
 
@@ -227,10 +232,12 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def strip_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """Returns doc_id, n_words, n_removed, kept_text and removed_spans (word places) for every row of docs."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     named = rows.filter("doc_id is not null and text is not null")
-    seen = np.zeros((len(LEVELS) + 1, SLOTS), np.int64)
-    counted = named.select("text").mapInArrow(tidy(_census(window)), "level int, slot int, n long").groupBy("level", "slot").agg(F.sum("n").alias("n"))
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = min(MOST_SLOTS, max(SLOTS, 1 << (2 * size // group_suffixes).bit_length()))  # some eight slots to a group of words of five bytes
+    seen = np.zeros((len(LEVELS) + 1, slots), np.int64)
+    counted = named.select("text").mapInArrow(tidy(_census(window, slots)), "level int, slot int, n long").groupBy("level", "slot").agg(F.sum("n").alias("n"))
     for r in counted.toLocalIterator():  # as many rows as there are slots at most
         seen[r.level, r.slot] = r.n
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -238,7 +245,7 @@ def strip_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", tex
     groups = max(groups, 1)
     leaves = named.mapInArrow(tidy(_leaves(window, group_of, groups)), _PACKED)
     marks = leaves.groupBy("grp").applyInArrow(_trees(groups), _PACKED)
-    spans = staged(marks.groupBy("grp").applyInArrow(_spans(window), "id long, text_key int, spans binary"), "spans")
+    spans = staged(marks.groupBy("grp").applyInArrow(_spans(window), "id long, text_key long, spans binary"), "spans")
     if (spans.agg(F.sum(F.length("spans") + 16)).first()[0] or 0) <= BROADCAST_BYTES:
         spans = F.broadcast(spans)
     joined = rows.join(spans, (rows.doc_id == spans.id) & (rows.text_key == spans.text_key), "left")
