@@ -8,7 +8,7 @@ the formats miss (FORMS), also in the place of a word of a window without spans;
 
 Every character of every text is scored, in overlapping windows; each character takes its scores from the window in which
 it stands furthest from the edges, and one best path is decoded over the whole text, but for stretches where the
-scores rule out every tag whatever the transitions. Tagged spans are added where no format has a span; those of the
+scores rule out that a tag pays. Tagged spans are added where no format has a span; those of the
 formats always stay.
 
 Null and empty texts have no spans; whole texts are searched in time linear in their length; repeated rows get equal
@@ -33,7 +33,7 @@ from pipeloom.shared import staged
 
 KINDS = ["email", "ip", "card", "phone"]
 ADDED = ["tagged_email", "tagged_ip", "tagged_card", "tagged_phone"]
-TRAIN, WINDOW, MARGIN = 96, 256, 24
+TRAIN, WINDOW, MARGIN, BESIDE = 96, 512, 24, 8
 TRAIN_WINDOWS, EXAMPLES = 1200, 2000
 LEAST = 7  # characters of a tagged span
 TOGETHER, ROWS = 1024, 1000
@@ -257,13 +257,13 @@ def _scores(model: Tagger, texts: list[str]) -> dict[int, tuple[np.ndarray, np.n
 
 
 def _stretches(hot: np.ndarray) -> list[tuple[int, int]]:
-    """Where hot characters stand, with MARGIN on either side; stretches that touch are one."""
+    """Where hot characters stand, with BESIDE on either side; stretches that touch are one."""
     at = np.flatnonzero(hot)
     if not len(at):
         return []
-    cut = np.flatnonzero(np.diff(at) > 2 * MARGIN) + 1
+    cut = np.flatnonzero(np.diff(at) > 2 * BESIDE) + 1
     lo, hi = at[np.append(0, cut)], at[np.append(cut - 1, len(at) - 1)]
-    return list(zip(np.maximum(lo - MARGIN, 0).tolist(), np.minimum(hi + MARGIN + 1, len(hot)).tolist()))
+    return list(zip(np.maximum(lo - BESIDE, 0).tolist(), np.minimum(hi + BESIDE + 1, len(hot)).tolist()))
 
 
 def tag(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:

@@ -28,7 +28,7 @@ def _soft(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """Emission scores of `tags` tags for each character of equally long windows, and transitions between tags."""
 
-    def __init__(self, tags: int, embed: int = 12, hidden: int = 16, seed: int = 5) -> None:
+    def __init__(self, tags: int, embed: int = 12, hidden: int = 14, seed: int = 5) -> None:
         r = np.random.default_rng(seed)
         self.tags, self.hidden = tags, hidden
         self.p = {"E": r.normal(0, 0.3, (SYMBOLS, embed)), "O": r.normal(0, 0.2, (2 * hidden, tags)), "o": np.zeros(tags), "T": np.zeros((tags, tags))}
@@ -36,7 +36,6 @@ class Tagger:
             self.p["W" + d] = r.normal(0, 0.25, (embed + hidden, 4 * hidden))
             self.p["c" + d] = np.concatenate((np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)))
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        self._mean: float | None = None
 
     def _lstm(self, ids: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         """Hidden states by time, unit and row. Gates are input, forget, output, then the candidate."""
@@ -139,7 +138,6 @@ class Tagger:
         twentieth, or it is at most `enough`; returns the last epoch's mean loss. The rate falls with each epoch that brings little."""
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        self._mean = None
         step, best, idle = 0, np.inf, 0
         for _ in range(most_epochs):
             order, losses = r.permutation(len(ids)), []
@@ -162,24 +160,23 @@ class Tagger:
     def hot(self, em: np.ndarray) -> np.ndarray:
         """By time and row: characters that may lie off tag 0 on a best path.
 
-        A stretch of n characters off tag 0 takes n + 1 transitions on a closed walk, which bring at most n + 1 times the
-        largest mean of a cycle, all against staying at 0; where every other tag's score is lower by over twice that,
-        none pays.
+        A stretch off tag 0 pays for its way in and out, and gains at most what its characters' other tags score above tag 0
+        and its transitions inside bring. A character is hot if some stretch with it could gain more than it pays: the best
+        sum of a stretch that ends here and that of one that begins here tell, in one scan each way.
         """
-        if self._mean is None:
-            self._mean = self._cycle_mean()
-        return em[:, 0] - em[:, 1:].max(axis=1) <= 2 * self._mean
-
-    def _cycle_mean(self) -> float:
-        gain = self.p["T"].astype(np.float64) - float(self.p["T"][0, 0])
-        low, high = 0.0, max(float(gain.max()), 0.0) + 1e-6
-        for _ in range(30):
-            middle = (low + high) / 2
-            walk = gain - middle
-            for k in range(self.tags):
-                walk = np.maximum(walk, walk[:, k, None] + walk[None, k])
-            low, high = (middle, high) if walk.diagonal().max() > 0 else (low, middle)
-        return high
+        T = self.p["T"]
+        inner = float(T[1:, 1:].max() - T[0, 0])
+        pays = float(2 * T[0, 0] - T[0, 1:].max() - T[1:, 0].max()) + inner
+        gain = em[:, 1:].max(axis=1) - em[:, 0] + inner
+        if len(gain):  # a text may begin or end within a stretch
+            gain[0] += max(0.0, float(T[0, 0] - T[0, 1:].max()))
+            gain[-1] += max(0.0, float(T[0, 0] - T[1:, 0].max()))
+        upto, on = gain.copy(), gain.copy()
+        for t in range(1, len(gain)):
+            upto[t] += np.maximum(upto[t - 1], 0)
+        for t in range(len(gain) - 2, -1, -1):
+            on[t] += np.maximum(on[t + 1], 0)
+        return upto + on - gain > pays
 
     def decode(self, rows: list[np.ndarray], together: int = 256) -> list[np.ndarray]:
         """The best tag sequence of each row of emissions; rows of like length go together."""
