@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents and benchmark items are cut into passages of PASSAGE words, half overlapping. A document's passage is searched
-with HALF words on either side, so that an item lies whole in some region. Regions are TF-IDF vectors over the
+with the HALF words after it, so that an item lies whole in the region in whose first half it begins. Regions are TF-IDF vectors over the
 benchmark's terms, with statistics of the whole corpus; a randomised SVD of the corpus' regions (one pass: a
-random sketch of the terms' Gram matrix, solved as a Nystroem approximation) gives the latent space. Regions that hold
+random sketch of the terms' Gram matrix, solved as a Nystroem approximation) gives the latent space, scaled to equal
+variance in each direction, so that what most texts of a language share weighs no more than the rest. Regions that hold
 at least LATENT of a benchmark passage's vector along its own direction there are candidates, if as many of the
 passage's words stand in the region as the subsequence needs; this second test loses nothing. A candidate is
 contaminated if the longest common subsequence of words covers `ratio` of the benchmark passage, or at least `weak` of
@@ -28,15 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipeloom.llm.words import LOWER, Chunk, chunks
+from pipeloom.llm.words import LOWER, Chunk, chunks, gram, tidy
 from pipeloom.shared import staged
 
 PASSAGE, HALF = 64, 32
-FACTORS, EXTRA = 96, 16
+FACTORS, EXTRA = 96, 8
 ITEM_BLOCK = 5000
-SHORT, ANSWER = 8, 12
-LATENT = 0.05
-PAIRS = 1 << 16
+SHORT, ANSWER, HEAD = 8, 12, 3
+LATENT = 0.15
+PAIRS = 1 << 13
+CHUNK = 1 << 18  # bytes of text at a time: a row of factors for each of its words is held
 _FOLD = LOWER.copy()
 _FOLD[[b for b in range(33, 127) if not chr(b).isalnum()]] = 32
 _FLAG_BITS = 18
@@ -62,7 +64,7 @@ class Bench:
 
 
 def _folded(texts: pa.Array) -> Iterator[Chunk]:
-    return chunks(pc.utf8_lower(texts), fold=_FOLD)
+    return chunks(pc.utf8_lower(texts), CHUNK, fold=_FOLD)
 
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
@@ -102,16 +104,16 @@ def _weighted(bench: Bench, seen: np.ndarray, total: int) -> None:
     bench.weights = np.sqrt(np.maximum(np.log((total + 1000) / (seen[kept] + 1)), 0.3)).astype(np.float32)
 
 
-def _halves(bench: Bench, c: Chunk) -> tuple[np.ndarray, ...]:
-    """The terms of each half passage, once each, and their half passages, numbered through the chunk; each half passage's row, and each row's first one."""
-    at, k = bench.lookup(c.hashes())
+def _halves(bench: Bench, c: Chunk, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """h: the hashes of the words. The terms of each half passage, once each, and their half passages, numbered through the chunk; each half passage's row, and each row's first one."""
+    at, k = bench.lookup(h)
     base = np.concatenate(([0], np.cumsum(np.maximum(1, -(-np.diff(c.first) // HALF)))))
     row = np.searchsorted(c.first, at, "right") - 1
     pairs = np.unique((base[row] + (at - c.first[row]) // HALF) * len(bench.terms) + k)
     return pairs % len(bench.terms), pairs // len(bench.terms), np.repeat(np.arange(len(base) - 1), np.diff(base)), base
 
 
-def _regions(x: np.ndarray, row: np.ndarray, shifts: tuple[int, ...] = (-1, 1, 2)) -> np.ndarray:
+def _regions(x: np.ndarray, row: np.ndarray, shifts: tuple[int, ...] = (1, 2)) -> np.ndarray:
     """Sums (or unions) of x over each half passage and those of its row at the shifts from it."""
     out = x.copy()
     for d in shifts:
@@ -134,12 +136,12 @@ def _census(bench: Bench):
     return run
 
 
-def _summed(bench: Bench, k: np.ndarray, half: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
-    """Sums of the weighted rows of basis over the terms of each half passage."""
-    out = np.zeros((n, basis.shape[1]), np.float32)
+def _summed(k: np.ndarray, half: np.ndarray, n: int, weighted: np.ndarray) -> np.ndarray:
+    """Sums of the weighted rows over the terms of each half passage."""
+    out = np.zeros((n, weighted.shape[1]), np.float32)
     if len(k):
         some, begin = np.unique(half, return_index=True)
-        out[some] = np.add.reduceat((basis * bench.weights[:, None]).astype(np.float32)[k], begin, axis=0)
+        out[some] = np.add.reduceat(weighted[k], begin, axis=0)
     return out
 
 
@@ -148,16 +150,18 @@ def _sketch(bench: Bench, random: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((len(bench.terms), random.shape[1]), np.float64)
+        weighted = random * bench.weights[:, None]
         for batch in batches:
             for c in _folded(batch.column(0)):
-                k, half, row, _ = _halves(bench, c)
+                k, half, row, _ = _halves(bench, c, c.hashes())
                 if not len(k):
                     continue
-                whole = _regions(_summed(bench, k, half, len(row), random), row)
-                each = _regions(whole, row, (1, -1, -2))[half]
+                whole = _regions(_summed(k, half, len(row), weighted), row)
                 order = np.argsort(k, kind="stable")
-                kinds, begin = np.unique(k[order], return_index=True)
-                out[kinds] += np.add.reduceat(each[order], begin, axis=0) * bench.weights[kinds, None]
+                each = _regions(whole, row, (-1, -2))[half[order]]
+                begin = np.flatnonzero(np.append(True, k[order][1:] != k[order][:-1]))
+                kinds = k[order[begin]]
+                out[kinds] += np.add.reduceat(each, begin, axis=0) * bench.weights[kinds, None]
         k = np.flatnonzero(np.abs(out).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([x.astype(np.float32).tobytes() for x in out[k]], pa.binary())], names=["term", "sums"])
 
@@ -174,15 +178,16 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def _latent(sketch: np.ndarray, random: np.ndarray, factors: int) -> np.ndarray:
-    """The leading right singular vectors of A from A^T A random."""
+    """The leading right singular vectors of A from A^T A random, each divided by its singular value."""
     shift = 1e-6 * np.linalg.norm(sketch) + 1e-12
     shifted = sketch + shift * random
     core = random.T @ shifted
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > 1e-9 * max(values.max(), 1e-30)
     root = shifted @ (vectors[:, good] / np.sqrt(values[good]))
-    left, _, _ = np.linalg.svd(root, full_matrices=False)
-    return left[:, :factors].astype(np.float32)
+    left, size, _ = np.linalg.svd(root, full_matrices=False)
+    kept = min(factors, int((size > 1e-6 * size[0]).sum()))
+    return (left[:, :kept] * (size[0] / size[:kept])).astype(np.float32)
 
 
 def _lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -205,6 +210,29 @@ def _stands(part: np.ndarray, whole: np.ndarray) -> bool:
     return any(np.array_equal(whole[i : i + n], part) for i in np.flatnonzero(whole[: len(whole) - n + 1] == part[0])) if 0 < n <= len(whole) else False
 
 
+class _Answers:
+    """Where the benchmark's answers may stand in a chunk's words, found by a hash of their first HEAD words."""
+
+    def __init__(self, bench: Bench) -> None:
+        heads = [a[:HEAD] for a in bench.answers]
+        self.of = [(len(a), int(gram(a))) for a in heads]
+        self.keys = {k: np.unique(np.array([n for size, n in self.of if size == k], np.uint64)) for k in {len(a) for a in heads}}
+        self.flags = {k: _flags(keys) for k, keys in self.keys.items()}
+
+    def places(self, c: Chunk, h: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+        found = {}
+        for size, keys in self.keys.items():
+            g, whole = c.grams(h, size)
+            i = np.flatnonzero(self.flags[size][(g >> np.uint64(64 - _FLAG_BITS)).astype(np.int64)] & whole)
+            k = np.minimum(np.searchsorted(keys, g[i]), len(keys) - 1)
+            same = keys[k] == g[i]
+            i, k = i[same], k[same]
+            order = np.argsort(k, kind="stable")
+            kinds, begin = np.unique(k[order], return_index=True)
+            found.update(((size, int(keys[n])), part) for n, part in zip(kinds, np.split(i[order], begin[1:])))
+        return found
+
+
 def _search(bench: Bench, basis: np.ndarray, ratio: float, weak: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_terms = len(bench.terms)
@@ -218,21 +246,32 @@ def _search(bench: Bench, basis: np.ndarray, ratio: float, weak: float):
             own[p, : len(k)] = k
         step = max(16, (1 << 23) // (n_terms + 1))
         unit = (goal / np.maximum(size, 1e-12)[:, None]).T.astype(np.float32)
+        answers, weighted = _Answers(bench), basis * bench.weights[:, None]
         for batch in batches:
             docs, items, starts, covers, helds = [], [], [], [], []
             for c in _folded(batch.column(1)):
                 h = c.hashes()
-                k, half, row_of, base = _halves(bench, c)
-                whole = _regions(_summed(bench, k, half, len(row_of), basis), row_of)
+                k, half, row_of, base = _halves(bench, c, h)
+                whole = _regions(_summed(k, half, len(row_of), weighted), row_of)
+                places = answers.places(c, h)
+
+                def answered(p: int, row: int, at: int) -> bool:
+                    """Whether the answer stands in the row's words about here."""
+                    a, there = bench.answers[p], places.get(answers.of[p])
+                    if there is None:
+                        return False
+                    lo, hi = c.first[row] + max(0, at - PASSAGE), min(c.first[row + 1], c.first[row] + at + 2 * PASSAGE)
+                    return any(np.array_equal(h[i : i + len(a)], a) for i in there[np.searchsorted(there, lo) : np.searchsorted(there, hi - len(a), "right")])
+
                 for s in range(0, len(row_of), step):
                     near, goals = np.nonzero(whole[s : s + step] @ unit >= LATENT * size)
                     if not len(near):
                         continue
-                    first, stop = max(0, s - 1), min(len(row_of), s + step + 2)
-                    there = np.zeros((stop - first, n_terms + 1), bool)  # which terms each region has
-                    a, b = np.searchsorted(half, (first, stop))
-                    there[half[a:b] - first, k[a:b]] = True
-                    there = _regions(there, row_of[first:stop])[s - first :].ravel()
+                    stop = min(len(row_of), s + step + 2)
+                    there = np.zeros((stop - s, n_terms + 1), bool)  # which terms each region has
+                    a, b = np.searchsorted(half, (s, stop))
+                    there[half[a:b] - s, k[a:b]] = True
+                    there = _regions(there, row_of[s:stop]).ravel()
                     for t in range(0, len(near), PAIRS):
                         i, p = near[t : t + PAIRS], goals[t : t + PAIRS]
                         stand = there.take(own[p] + i[:, None] * (n_terms + 1)).sum(axis=1)
@@ -240,16 +279,15 @@ def _search(bench: Bench, basis: np.ndarray, ratio: float, weak: float):
                             row = int(row_of[s + i])
                             at = int(s + i - base[row]) * HALF
                             mine = h[c.first[row] : c.first[row + 1]]
-                            region = mine[max(0, at - HALF) : at + PASSAGE + HALF]
+                            region = mine[at : at + PASSAGE + HALF]
                             words = bench.words[p]
                             if len(words) < SHORT:
                                 share = float(_stands(words, region))
                             else:
-                                answered = None
-                                if n < ratio * len(words) and not (answered := _stands(bench.answers[p], mine[max(0, at - PASSAGE) : at + 2 * PASSAGE])):
+                                if n < ratio * len(words) and not answered(p, row, at):
                                     continue
                                 share = _lcs(words, region) / len(words)
-                                if share < ratio and not (share >= weak and (answered or _stands(bench.answers[p], mine[max(0, at - PASSAGE) : at + 2 * PASSAGE]))):
+                                if share < ratio and not (share >= weak and answered(p, row, at)):
                                     continue
                             if share > 0:
                                 docs.append(c.rows.start + row)
@@ -276,7 +314,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.6
         if bench is None or not len(bench.terms):
             continue
         total, seen = 0, np.zeros(len(bench.terms), np.int64)
-        counted = rows.select("text").mapInArrow(_census(bench), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        counted = rows.select("text").mapInArrow(tidy(_census(bench)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
         for r in counted.toLocalIterator():  # a row for each term
             if r.term < 0:
                 total = r.n
@@ -286,12 +324,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.6
             continue
         _weighted(bench, seen, total)
         random = np.random.default_rng(11).normal(size=(len(bench.terms), FACTORS + EXTRA)).astype(np.float32)
-        sums = rows.select("text").mapInArrow(_sketch(bench, random), "term long, sums binary").groupBy(F.floor(F.col("term") / 256)).applyInArrow(_added, "term long, sums binary")
+        sums = rows.select("text").mapInArrow(tidy(_sketch(bench, random)), "term long, sums binary").groupBy(F.floor(F.col("term") / 256)).applyInArrow(_added, "term long, sums binary")
         sketch = np.zeros((len(bench.terms), FACTORS + EXTRA))
         for r in sums.toLocalIterator():
             sketch[r.term] = np.frombuffer(r.sums, np.float32)
         basis = _latent(sketch, random.astype(np.float64), FACTORS)
-        hits = rows.mapInArrow(_search(bench, basis, ratio, weak), "doc_id long, item_id long, at_word long, cover double, held long")
+        hits = rows.mapInArrow(tidy(_search(bench, basis, ratio, weak)), "doc_id long, item_id long, at_word long, cover double, held long")
         found = found.unionByName(hits)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("cover", "held", (-F.col("at_word")).alias("before"))).alias("b"))
     return staged(best.select("doc_id", "item_id", (-F.col("b.before")).alias("at_word"), F.col("b.cover").alias("cover")), "contaminated")
