@@ -46,6 +46,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile("[0-9]+")
 _PARTS = re.compile("[0-9]+")
 _AT = re.compile(r"[A-Za-z0-9].*?(?:@|\bat\b).*?[A-Za-z0-9]", re.IGNORECASE | re.DOTALL)
+_DOUBTFUL = re.compile(r"@|\bat\b|\bdot\b", re.IGNORECASE)
 _JOINED = re.compile("[A-Za-z0-9]{2}")
 _DIGITS = re.compile("[^0-9]+")
 
@@ -83,7 +84,8 @@ def formats(text: str) -> list[tuple[int, int, int]]:
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A window for each span of the formats: its text, the spans in it as kind, start, end, and their kinds; and, of some texts, one without spans (kind 4)."""
+    """A window for each span of the formats: its text, the spans in it as kind, start, end, and their kinds; and, of some texts, one
+    without spans (kind 4), where nothing looks like a span in another form."""
     for batch in batches:
         texts, spans = [], []
         for text in batch.column(0).to_pylist():
@@ -98,8 +100,9 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digits = [m.start() for m in _NUMBER.finditer(text)]
                 i = digits[digest // 4 % len(digits)] - TRAIN // 2 if digits and digest % 8 else digest // 8 % len(text)
                 i = max(0, min(i, len(text) - TRAIN))
-                if not any(a < i + TRAIN and i < b for a, _, b in found):
-                    texts.append(text[i : i + TRAIN])
+                part = text[i : i + TRAIN]
+                if not any(a < i + TRAIN and i < b for a, _, b in found) and not _DOUBTFUL.search(part) and len(_bare(part)) <= 8:
+                    texts.append(part)
                     spans.append([])
         kinds = [sorted(set(s[::3])) or [len(KINDS)] for s in spans]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int64()))], names=["window", "inside", "kinds"])
