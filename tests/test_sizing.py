@@ -36,6 +36,8 @@ def test_trees(spark):
     tree = spark.createDataFrame([(1, None, 0.0), (2, 1, 30.1), (3, 1, 0.0), (4, 3, 50.2), (9, None, 7.0)], "node_id long, parent_id long, v double")
     assert {r.node_id: float(r.s) for r in roll_up(tree, "v", "s").collect()} == {1: 80.3, 2: 30.1, 3: 50.2, 4: 50.2, 9: 7.0}
     assert {r.node_id: (r.d, r.head) for r in walk_up(tree, F.lit(1), "d", "long").collect()} == {1: (1, 1), 2: (2, 1), 3: (2, 1), 4: (3, 1), 9: (1, 9)}
+    deep = spark.createDataFrame([(i, i - 1 if i else None, 1.0) for i in range(150)] + [(200, 500, 2.0)], "node_id long, parent_id long, v double")
+    assert {r.node_id: float(r.s) for r in roll_up(deep, "v", "s").collect()} == {i: float(150 - i) for i in range(150)} | {200: 2.0}
     loop = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, None), (5, 4)], "node_id long, parent_id long")
     assert {r[0] for r in on_cycle(loop).collect()} == {1, 2, 3}
     with pytest.raises(ValueError, match="cycle"):
