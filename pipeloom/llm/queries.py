@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipeloom.llm import line_dedup
+from pipeloom.llm import lexical_search, line_dedup
 from pipeloom.llm.decontaminate import find_contamination
 from pipeloom.llm.embedding_dedup import near_vectors
 from pipeloom.llm.near_duplicates import near_duplicates
@@ -20,6 +20,7 @@ from pipeloom.llm.secrets_scan import find_secrets
 from pipeloom.llm.spans import listed, number
 from pipeloom.llm.substring_dedup import strip_repeats
 from pipeloom.llm.token_counts import token_report
+from pipeloom.llm.whitening import whiten
 from pipeloom.shared import load
 
 
@@ -71,6 +72,14 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build_index(load(spark, sf_dir, "documents")), load(spark, sf_dir, "benchmark"), top=10)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(load(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,8 +87,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op8_embedding_dedup": op8_embedding_dedup, "op9_minhash": op9_minhash, "op10_pii": op10_pii, "pipeline": pipeline}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op8_embedding_dedup": op8_embedding_dedup, "op9_minhash": op9_minhash, "op10_pii": op10_pii, "op11_lexical_search": op11_lexical_search, "op12_whitening": op12_whitening, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op6_line_dedup": line_dedup.ORACLE_SQL, "op11_lexical_search": lexical_search.ORACLE_SQL}
