@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipeloom.llm import lexical_search, line_dedup
+from pipeloom.llm import chat_tree, lexical_search, line_dedup
 from pipeloom.llm.decontaminate import find_contamination
 from pipeloom.llm.embedding_dedup import near_vectors
 from pipeloom.llm.near_duplicates import near_duplicates
@@ -80,6 +80,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(load(spark, sf_dir, "embeddings"), components=4, scale=256)
 
 
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats, text = load(spark, sf_dir, "conversations"), "\\### Assistant: </turn> ok"
+    kinds = {f.name: f.dataType for f in chats.schema.fields}
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    own = own.select(*(F.col(c).cast(kinds[c]).alias(c) for c in own.columns))
+    return chat_tree.digests(chat_tree.chat_tree(chats.select(*own.columns).unionByName(own)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,8 +95,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op8_embedding_dedup": op8_embedding_dedup, "op9_minhash": op9_minhash, "op10_pii": op10_pii, "op11_lexical_search": op11_lexical_search, "op12_whitening": op12_whitening, "pipeline": pipeline}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op8_embedding_dedup": op8_embedding_dedup, "op9_minhash": op9_minhash, "op10_pii": op10_pii, "op11_lexical_search": op11_lexical_search, "op12_whitening": op12_whitening, "op13_chat_formatting": op13_chat_formatting, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.ORACLE_SQL, "op11_lexical_search": lexical_search.ORACLE_SQL}
+    return {"op6_line_dedup": line_dedup.ORACLE_SQL, "op11_lexical_search": lexical_search.ORACLE_SQL, "op13_chat_formatting": chat_tree.ORACLE_SQL}
