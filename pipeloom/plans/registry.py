@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from pipeloom.plans import assembly, details, geometry, ingest, network, planning, sizing, surveys
+from pipeloom.plans import assembly, details, geometry, ingest, network, planning, sizing, surveys, zones
 
+PARTS = (sizing, network, surveys, planning, geometry, assembly, ingest, details, zones)
 #: Decimal results of queries, handed out as doubles by both engines.
 DECIMALS = {
     "min_dn_asof": ["flow_tph"], "tree_flow_rollup": ["flow"], "tree_leaf_paths": ["path_m"], "dn_runs": ["run_m"], "upstream_added_flow": ["added"], "suffix_tie_in_flow": ["flow"],
@@ -28,11 +29,11 @@ def _plain(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _plain(query) for part in (sizing, network, surveys, planning, geometry, assembly, ingest, details) for name, (query, _) in part.QUERIES.items()}
+    return {name: _plain(query) for part in PARTS for name, (query, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: sql for part in (sizing, network, surveys, planning, geometry, assembly, ingest, details) for name, (_, sql) in part.QUERIES.items() if sql}
+    found = {name: sql for part in PARTS for name, (_, sql) in part.QUERIES.items() if sql}
     for name, columns in DECIMALS.items():
         found[name] = f"select * replace ({', '.join(f'cast({c} as double) as {c}' for c in columns)}) from ({found[name]})"
     return found
