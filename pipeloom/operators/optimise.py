@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import pandas as pd
@@ -12,44 +11,6 @@ from pipeloom.functions.reference import DIAMETERS, TIE_IN_COST
 PRICE = [float(d[3]) for d in DIAMETERS]
 
 
-def turn(a: tuple[float, float], b: tuple[float, float], c: tuple[float, float]) -> float:
-    """Degrees between the ways a-b and b-c."""
-    x = math.atan2(b[1] - a[1], b[0] - a[0]) - math.atan2(c[1] - b[1], c[0] - b[0])
-    return abs(math.degrees(math.atan2(math.sin(x), math.cos(x))))
-
-
-def turn_aware_path(points: dict[int, tuple[float, float]], edges: dict[int, list[tuple[int, float]]], start: int, goal: int, most: float = 90.0) -> tuple[float, list[int]] | None:
-    """The shortest path without a turn sharper than `most` degrees: states are (node before, node)."""
-    queue: list[tuple[float, int, int, tuple]] = [(0.0, -1, start, ())]
-    done: set[tuple[int, int]] = set()
-    while queue:
-        cost, before, at, way = heapq.heappop(queue)
-        if (before, at) in done:
-            continue
-        done.add((before, at))
-        if at == goal:
-            out = [at]
-            while way:
-                out.append(way[0])
-                way = way[1]
-            return cost, out[::-1]
-        for to, d in edges.get(at, []):
-            if (at, to) not in done and (before < 0 or turn(points[before], points[at], points[to]) <= most + 1e-6):
-                heapq.heappush(queue, (cost + d, at, to, (at, way)))
-    return None
-
-
-def path_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """applyInPandas kernel over the edges (group_id, a, b, ax, ay, bx, by, d) of one graph: from its least to its largest node."""
-    points, edges = {}, {}
-    for r in pdf.itertuples():
-        points[r.a], points[r.b] = (r.ax, r.ay), (r.bx, r.by)
-        edges.setdefault(r.a, []).append((r.b, r.d))
-        edges.setdefault(r.b, []).append((r.a, r.d))
-    found = turn_aware_path(points, {k: sorted(v) for k, v in edges.items()}, min(points), max(points))
-    return pd.DataFrame({"group_id": [int(pdf.group_id.iloc[0])], "start": [min(points)], "goal": [max(points)], "n_nodes": [len(found[1]) if found else 0], "length_m": [round(found[0], 6) if found else None]})
-
-
 def greedy_tree(demands: list[tuple[int, float, float]], chambers: list[tuple[int, float, float]], price: float) -> list[tuple[int, str, int, float]]:
     """(demand, kind, target, metres) in the order of commitment: each round joins the waiting demand that is cheapest to
     join, to a chamber (at the cost of a tie-in, in metres of pipe) or to a demand that has been joined."""

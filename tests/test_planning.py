@@ -1,11 +1,14 @@
+import heapq
 import itertools
+import math
 import random
 
 import pytest
 
 from pipeloom.functions.reference import CHAMBER_BANDS, DIAMETERS
 from pipeloom.operators.diameters import cheapest_diameters
-from pipeloom.operators.optimise import greedy_tree, turn, turn_aware_path
+from pipeloom.operators.optimise import greedy_tree
+from pipeloom.operators.search import cheapest, cheapest_states, traced
 from pipeloom.sources.geojson import parse_features
 
 
@@ -61,12 +64,65 @@ def test_cheapest_diameters_equal_brute_force(spark):
     assert got[240] == 65 and {got[250], got[251]} == {50} and got[260] is None
 
 
-def test_turn_aware_path():
+def turn(a, b, c):
+    x = math.atan2(b[1] - a[1], b[0] - a[0]) - math.atan2(c[1] - b[1], c[0] - b[0])
+    return abs(math.degrees(math.atan2(math.sin(x), math.cos(x))))
+
+
+def brute_ways(points, edges, starts, most=90.0, free=5.0, turn_cost=10.0):
+    """Least cost of each node, by a queue over (node before, node)."""
+    queue, done, best = [(c, -1, n) for n, c in starts.items()], set(), {}
+    heapq.heapify(queue)
+    while queue:
+        cost, before, at = heapq.heappop(queue)
+        if (before, at) in done:
+            continue
+        done.add((before, at))
+        best.setdefault(at, cost)
+        for to, d in edges.get(at, {}).items():
+            bend = 0.0 if before < 0 else turn(points[before], points[at], points[to])
+            if bend <= most + 1e-6:
+                heapq.heappush(queue, (cost + d + (turn_cost if bend > free else 0.0), at, to))
+    return best
+
+
+@pytest.mark.parametrize("seed,bucket", [(1, 20.0), (2, 1e9), (3, 60.0)])
+def test_cheapest_ways_equal_a_queue(spark, seed, bucket):
+    draw = random.Random(seed)
+    points = {i: (draw.uniform(0, 300), draw.uniform(0, 300)) for i in range(90)} | {200: (900.0, 900.0), 201: (905.0, 900.0)}
+    pairs = [(a, b) for a in range(90) for b in range(a) if math.dist(points[a], points[b]) < 60 and draw.random() < 0.8] + [(200, 201)]
+    edges = {}
+    for a, b in pairs:
+        edges.setdefault(a, {})[b] = edges.setdefault(b, {})[a] = math.dist(points[a], points[b])
+    rows = [(a, b, *points[a], *points[b], math.dist(points[a], points[b])) for a, b in pairs] + [(3, 3, 0.0, 0.0, 0.0, 0.0, 0.0)] + [(pairs[0][1], pairs[0][0], *points[pairs[0][1]], *points[pairs[0][0]], 1e3)]
+    table = spark.createDataFrame(rows, "a long, b long, ax double, ay double, bx double, by double, d double")
+    starts = {0: 0.0, 1: 25.0}
+    begun = spark.createDataFrame([*starts.items(), (0, 9.0)], "node long, cost double").groupBy("node").min("cost").withColumnRenamed("min(cost)", "cost")
+    states = cheapest_states(table, begun, bucket=bucket)
+    found = cheapest(states, begun)
+    want = brute_ways(points, edges, starts)
+    got = {r.node: r for r in found.collect()}
+    assert set(got) == set(want) and all(abs(got[n].cost - want[n]) < 1e-9 for n in want) and 200 not in got
+    ways = {}
+    for r in traced(states, found).collect():
+        ways.setdefault(r.goal, []).append((r.place, r.node))
+    for goal, way in ways.items():
+        way = [n for _, n in sorted(way)]
+        assert way[-1] == goal and way[0] == got[goal].source and len(way) == got[goal].hops + 1
+        bends = [turn(points[a], points[b], points[c]) for a, b, c in zip(way, way[1:], way[2:])]
+        assert max(bends, default=0) <= 90.0001 and abs(starts[way[0]] + sum(edges[a][b] for a, b in zip(way, way[1:])) + 10 * sum(x > 5 for x in bends) - got[goal].cost) < 1e-9
+    near = sorted(want, key=want.get)[:20]
+    early = cheapest(cheapest_states(table, begun, spark.createDataFrame([(n,) for n in near], "node long"), bucket=bucket), begun)
+    assert all(abs(r.cost - want[r.node]) < 1e-9 for r in early.collect() if r.node in near)
+    assert cheapest_states(table, begun.limit(0)).count() == 0
+
+
+def test_sharp_turns_are_no_way(spark):
     points = {0: (0.0, 0.0), 1: (10.0, 0.0), 2: (9.0, 1.0), 3: (10.0, 20.0)}
-    assert turn(points[0], points[1], points[3]) == pytest.approx(90)
-    edges = {0: [(1, 10.0)], 1: [(2, 1.0), (3, 20.0)], 2: [(3, 1.0)]}
-    assert turn_aware_path(points, edges, 0, 3) == (30.0, [0, 1, 3])
-    assert turn_aware_path(points, {0: [(1, 10.0)], 1: [(2, 1.0)], 2: [(3, 1.0)]}, 0, 3) is None
+    rows = [(a, b, *points[a], *points[b], math.dist(points[a], points[b])) for a, b in ((0, 1), (1, 2), (2, 3))]
+    table, begun = spark.createDataFrame(rows, "a long, b long, ax double, ay double, bx double, by double, d double"), spark.createDataFrame([(0, 0.0)], "node long, cost double")
+    assert {r.node for r in cheapest(cheapest_states(table, begun), begun).collect()} == {0, 1}
+    assert {r.node for r in cheapest(cheapest_states(table, begun, most=180.0), begun).collect()} == {0, 1, 2, 3}
 
 
 def test_greedy_tree_joins_all():
