@@ -20,6 +20,14 @@ from pipeloom.shared import load, staged
 
 BROADCAST_IDS = 2_000_000
 METADATA = ("n_chars",)
+BATCH_ROWS = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS documents at once between the JVM and Python workers, in this session from now on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -32,6 +40,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more by the factorisation machine."""
+    _small_batches(spark)
     labels = load(spark, sf_dir, "labels").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     model = train_quality(docs, labels, metadata=METADATA)
     [score] = unused(docs, "score")
@@ -40,6 +49,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs; those of which nothing is left go."""
+    _small_batches(spark)
     left = drop_repeated_lines(docs).filter("n_removed = 0 or n_removed < n_lines")
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed).select(*(f"`{c}`" for c in docs.columns))
@@ -47,16 +57,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near duplicates."""
+    _small_batches(spark)
     return _without(docs, near_duplicates(docs, words=5, percent=80).filter("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
+    _small_batches(spark)
     return _without(docs, find_contamination(docs, load(spark, sf_dir, "benchmark")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 4096."""
+    _small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=4096, end=2)
 
 
