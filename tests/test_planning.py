@@ -7,6 +7,7 @@ import pytest
 
 from pipeloom.functions.reference import CHAMBER_BANDS, DIAMETERS
 from pipeloom.operators.diameters import cheapest_diameters
+from pipeloom.operators.limits import raise_for_length
 from pipeloom.operators.optimise import greedy_tree
 from pipeloom.operators.search import cheapest, cheapest_states, traced
 from pipeloom.sources.geojson import parse_features
@@ -140,3 +141,52 @@ def test_geojson_problems(spark):
     got = parse_features(spark.createDataFrame([(r,) for r in rows], "value string")).collect()
     assert [(r.id, r.kind, r.problem) for r in got] == [("7", "chamber", None), ("s-1", "source", None), ("1", None, "MISSING_OBJECT_TYPE"), (None, None, "FEATURE_PARSE"), ("3", "source", "MISSING_GEOMETRY")]
     assert [r.id_is_number for r in got[:2]] == [True, False]
+
+
+def brute_limits(parent, length, dn):
+    dn = dict(dn)
+    depth = {n: 0 for n in parent}
+    for n in parent:
+        p = parent[n]
+        while p is not None:
+            depth[n], p = depth[n] + 1, parent[p]
+    leaves = set(parent) - set(parent.values())
+    while True:
+        for n in sorted(parent, key=depth.get, reverse=True):
+            if parent[n] is not None:
+                dn[parent[n]] = max(dn[parent[n]], dn[n])
+        over = set()
+        for leaf in leaves:
+            way, n = [], leaf
+            while n is not None:
+                way.append(n)
+                n = parent[n]
+            for _, run in itertools.groupby(way, key=dn.get):
+                run = list(run)
+                if sum(length[n] for n in run) > LONGEST[DN.index(dn[run[0]])] + 0.01:
+                    over |= set(run)
+        raised = {n for n in over if dn[n] < DN[-1]}
+        if not raised:
+            return {n: (dn[n], n in over) for n in parent}
+        for n in raised:
+            dn[n] = DN[DN.index(dn[n]) + 1]
+
+
+def test_length_limits(spark):
+    """Fixed answers for one chain or fork each, and brute force on random trees."""
+    cases = [([None, 1], [100, 100], [50, 50], [65, 65]), ([None, 1], [150, 150], [50, 50], [80, 80]), ([None, 1], [100, "81.005"], [50, 50], [50, 50]), ([None, 1, 1], [150, 150, 200], [100, 50, 100], [100, 50, 100]), ([None], [99999], [50], [1400])]
+    parent, length, dn, want = {}, {}, {}, {}
+    for k, (ups, metres, sizes, out) in enumerate(cases):
+        for i, (u, m, s, o) in enumerate(zip(ups, metres, sizes, out)):
+            n = 100 * k + i + 1
+            parent[n], length[n], dn[n], want[n] = None if u is None else 100 * k + u, float(m), s, o
+    draw = random.Random(8)
+    for tree in range(40):
+        for i in range(draw.randint(1, 25)):
+            n = 10_000 + 100 * tree + i
+            parent[n], length[n], dn[n] = None if i == 0 else draw.choice([n - 1, 10_000 + 100 * tree + draw.randrange(i)]), draw.randint(1, 40000) / 100, draw.choice(DN[:5])
+    rows = [(n, parent[n], str(length[n]), dn[n]) for n in parent]
+    table = spark.createDataFrame(rows, "node_id long, parent_id long, length string, dn int").selectExpr("node_id", "parent_id", "cast(length as decimal(18,3)) as length_m", "dn")
+    got = {r.node_id: (r.dn, r.too_long) for r in raise_for_length(table).collect()}
+    assert got == brute_limits(parent, length, dn)
+    assert {n: got[n][0] for n in want} == want and got[401] == (1400, True) and raise_for_length(table.limit(0)).count() == 0
