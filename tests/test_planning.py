@@ -10,6 +10,7 @@ from pipeloom.operators.diameters import cheapest_diameters
 from pipeloom.operators.limits import raise_for_length
 from pipeloom.operators.optimise import greedy_tree
 from pipeloom.operators.search import cheapest, cheapest_states, traced
+from pipeloom.operators.untangle import untangled
 from pipeloom.sources.geojson import parse_features
 
 
@@ -190,3 +191,33 @@ def test_length_limits(spark):
     got = {r.node_id: (r.dn, r.too_long) for r in raise_for_length(table).collect()}
     assert got == brute_limits(parent, length, dn)
     assert {n: got[n][0] for n in want} == want and got[401] == (1400, True) and raise_for_length(table.limit(0)).count() == 0
+
+
+def test_untangled_forests(spark):
+    draw = random.Random(6)
+    nodes = [(0, None, 0.0, 0.0), (1, None, 200.0, 200.0)] + [(i, draw.choice([i - 1 if i > 2 else 0, draw.randrange(2), draw.randrange(i)]), draw.uniform(0, 200), draw.uniform(0, 200)) for i in range(2, 70)]
+    nodes += [(500, None, 1000.0, 1000.0), (501, 500, 1100.0, 1000.0), (502, 501, 1100.0, 1100.0), (503, 502, 1050.0, 900.0), (600, None, 5000.0, 5000.0)]
+    schema = "node_id long, parent_id long, x double, y double"
+    out = {r.node_id: r for r in untangled(spark.createDataFrame(nodes, schema)).collect()}
+    assert {n[0] for n in nodes} == {i for i, r in out.items() if not r.chamber} and all(i < 0 for i, r in out.items() if r.chamber)
+    root = {n[0]: n[0] for n in nodes if n[1] is None}
+    for i, r in out.items():
+        way, at = [], i
+        while out[at].parent_id is not None:
+            way.append(at)
+            at = out[at].parent_id
+            assert len(way) <= len(out)
+        assert at in root
+    segments = [(i, (out[r.parent_id].x, out[r.parent_id].y), (r.x, r.y)) for i, r in out.items() if r.parent_id is not None]
+    side = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    apart = lambda p, a, b: abs(side(p, a, b)) > 0.05 * math.dist(a, b)  # noqa: E731  not at a place where the tolerance lets ends touch
+    for k, (_, a, b) in enumerate(segments):
+        for _, c, d in segments[:k]:
+            cross = side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
+            assert not (cross and all(apart(*q) for q in ((a, c, d), (b, c, d), (c, a, b), (d, a, b))))
+    length = lambda rows: sum(math.dist(rows[r[0]][2:4], rows[r[1]][2:4]) for r in rows.values() if r[1] is not None)
+    assert length({i: (i, r.parent_id, r.x, r.y) for i, r in out.items()}) <= length({n[0]: n for n in nodes}) + 1e-6
+    assert all(out[i].parent_id is None for i in root)
+    [chamber] = [r for r in out.values() if r.chamber and r.x > 900]  # 503's pipe is cut where it crosses 501's, and hangs from there
+    assert (round(chamber.x, 6), round(chamber.y, 6), chamber.parent_id) == (1075.0, 1000.0, 500) and out[501].parent_id == out[503].parent_id == chamber.node_id and out[502].parent_id == 501
+    assert untangled(spark.createDataFrame([], schema)).count() == 0
