@@ -46,15 +46,14 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, point_id: str, size: fl
     return a.join(b, "cell").filter((F.abs(F.col("x") - F.col("cx")) <= F.col("half_w")) & (F.abs(F.col("y") - F.col("cy")) <= F.col("half_h"))).drop("cell")
 
 
-def clip(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, hw: Column, hh: Column) -> tuple[Column, Column]:
-    """Parameters in [0, 1] where the segment enters and leaves the box; it meets the box where enter <= leave."""
-    dx, dy = bx - ax, by - ay
-    tx = [F.when(dx != 0, (cx + s * hw - ax) / dx) for s in (-1, 1)]
-    ty = [F.when(dy != 0, (cy + s * hh - ay) / dy) for s in (-1, 1)]
-    out_x, out_y = (dx == 0) & (F.abs(ax - cx) > hw), (dy == 0) & (F.abs(ay - cy) > hh)
-    enter = F.greatest(F.lit(0.0), F.coalesce(F.least(*tx), F.lit(0.0)), F.coalesce(F.least(*ty), F.lit(0.0)))
-    leave = F.least(F.lit(1.0), F.coalesce(F.greatest(*tx), F.lit(1.0)), F.coalesce(F.greatest(*ty), F.lit(1.0)))
-    return enter, F.when(out_x | out_y, F.lit(-1.0)).otherwise(leave)
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly before each of its few bytes turns into much work: a number of partitions that adaptive execution leaves alone."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def micro(x: Column) -> Column:
+    """x to six decimals, half up, in doubles only."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
 
 
 def _cells_along(size: float, reach: float | Column) -> Column:
@@ -74,18 +73,24 @@ def _cells_along(size: float, reach: float | Column) -> Column:
 
 
 def routes_in_boxes(routes: DataFrame, boxes: DataFrame, size: float = 50.0) -> DataFrame:
-    """Pairs of a route (route_id, ax, ay, bx, by) and a box that it meets, with enter and leave; one row for each pair.
+    """Pairs of a route (route_id, ax, ay, bx, by) and a box that it meets, with enter and leave, parameters in [0, 1]; one row for each pair.
 
-    A box is in the cell of its centre alone, and a route goes to the cells within the largest half side of its way, so
-    each pair meets once and the work follows the ways' lengths, not the area between their ends.
+    A box is in the cell of its centre alone, and a route goes to the cells within the largest half side of the boxes of a class of its way, so
+    each pair meets once and the work follows the ways' lengths, not the area between their ends. Classes hold boxes up to a cell,
+    two, four cells and so on in half side, so that a few large boxes don't widen the search for the others.
     """
-    reach = boxes.agg(F.max(F.greatest("half_w", "half_h"))).first()[0]
-    if reach is None:
-        reach = 0.0
-    a = routes.withColumn("cell", _cells_along(size, F.lit(float(reach))))
-    b = boxes.withColumn("cell", F.struct(F.floor(F.col("cx") / size).alias("cx_"), F.floor(F.col("cy") / size).alias("cy_")))
-    enter, leave = clip(*(F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy", "half_w", "half_h")))
-    return a.join(b, "cell").drop("cell").withColumn("enter", enter).withColumn("leave", leave).filter("enter <= leave")
+    grade = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("half_w", "half_h", F.lit(size)) / size))).cast("int")
+    classes = boxes.groupBy(grade.alias("grade")).agg(F.max(F.greatest("half_w", "half_h")).alias("reach"))  # as many as doublings of a cell
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    a = spread(routes).withColumn("_ix", F.try_divide(F.lit(1.0), dx)).withColumn("_iy", F.try_divide(F.lit(1.0), dy))  # one division a way, none a pair
+    a = a.crossJoin(F.broadcast(classes)).withColumn("cell", _cells_along(size, F.col("reach"))).drop("reach")
+    b = boxes.withColumn("grade", grade).withColumn("cell", F.struct(F.floor(F.col("cx") / size).alias("cx_"), F.floor(F.col("cy") / size).alias("cy_")))
+    ends = {c: [(F.col(f"c{c}") + s * F.col(f"half_{h}") - F.col(f"a{c}")) * F.col(f"_i{c}") for s in (-1, 1)] for c, h in (("x", "w"), ("y", "h"))}
+    enter = F.greatest(F.lit(0.0), *(F.least(*ends[c]) for c in "xy"))  # nulls, of ways along an axis, are passed over
+    leave = F.least(F.lit(1.0), *(F.greatest(*ends[c]) for c in "xy"))
+    beside = [F.col(f"_i{c}").isNull() & (F.abs(F.col(f"a{c}") - F.col(f"c{c}")) > F.col(f"half_{h}")) for c, h in (("x", "w"), ("y", "h"))]
+    met = a.join(b, ["grade", "cell"]).filter(~beside[0] & ~beside[1] & (enter <= leave))
+    return met.withColumn("enter", enter).withColumn("leave", leave).drop("grade", "cell", "_ix", "_iy")
 
 
 def crossings(routes: DataFrame, size: float = 50.0) -> DataFrame:

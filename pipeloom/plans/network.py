@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pipeloom.operators.components import components
 from pipeloom.operators.ranks import rank_in_blocks
-from pipeloom.operators.spatial import clusters, elementary_pieces, nearest, points_in_boxes, routes_in_boxes, within
+from pipeloom.operators.spatial import clusters, elementary_pieces, micro, nearest, points_in_boxes, routes_in_boxes, within
 from pipeloom.operators.tree import bfs, on_cycle
 from pipeloom.shared import load
 from pipeloom.sources.views import sql_views, view
@@ -123,7 +123,7 @@ def special_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of routes in roads and tram tracks, with the larger coefficient where they overlap."""
     boxes = view(spark, sf_dir, "restriction").filter("rules_key in ('road', 'tram_tracks')").withColumn("half_w", F.col("half_w") + 3).withColumn("half_h", F.col("half_h") + 3)
     k = F.when(F.col("rules_key") == "road", 1.6).otherwise(1.75)
-    spans = routes_in_boxes(routes(spark, sf_dir), boxes, 100.0).select("route_id", F.round("enter", 6).alias("lo"), F.round("leave", 6).alias("hi"), k.alias("k")).filter("lo < hi")
+    spans = routes_in_boxes(routes(spark, sf_dir), boxes, 100.0).select("route_id", micro(F.col("enter")).alias("lo"), micro(F.col("leave")).alias("hi"), k.alias("k")).filter("lo < hi")
     return elementary_pieces(spans, "route_id", [1.6, 1.75]).select("route_id", F.col("at").alias("lo"), F.col("stop").alias("hi"), "k")
 
 
@@ -178,5 +178,5 @@ QUERIES = {
     "own_polygon": (own_polygon, f"{_P} select oks_id, min(restriction_id) as restriction_id from oks join restriction on rules_key = 'oks_existing' and abs(x - cx) <= half_w and abs(y - cy) <= half_h group by oks_id"),
     "segment_blocked_box": (segment_blocked_box, f"{_P}, {_clipped('0.99', repr('park') + ', ' + ', '.join(map(repr, ('social_area', 'prohibited_site', 'water', 'railway'))))} select route_id, count(*) as n_zones, min(restriction_id) as first_zone from met where enter <= leave group by route_id"),
     "special_sections": (special_sections, f"{_P}, {_SPECIAL} select route_id, lo, hi, k from pieces"),
-    "weighted_length": (weighted_length, f"{_P}, {_SPECIAL} select route_id, round(sqrt((ax - bx) * (ax - bx) + (ay - b_y) * (ay - b_y)) * (coalesce(extra, 0.0) + 1), 3) as weighted_m from routes left join (select route_id, sum((hi - lo) * (k - 1)) as extra from pieces group by 1) using (route_id)"),
+    "weighted_length": (weighted_length, f"{_P}, {_SPECIAL.replace('pieces as (', 'pieces as materialized (')} select route_id, round(sqrt((ax - bx) * (ax - bx) + (ay - b_y) * (ay - b_y)) * (coalesce(extra, 0.0) + 1), 3) as weighted_m from routes left join (select route_id, sum((hi - lo) * (k - 1)) as extra from pieces group by 1) using (route_id)"),
 }
