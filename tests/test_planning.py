@@ -9,6 +9,7 @@ from pipeloom.functions.reference import CHAMBER_BANDS, DIAMETERS
 from pipeloom.operators.diameters import cheapest_diameters
 from pipeloom.operators.limits import raise_for_length
 from pipeloom.operators.optimise import greedy_tree
+from pipeloom.operators.route_trees import merged_routes
 from pipeloom.operators.search import cheapest, cheapest_states, traced
 from pipeloom.operators.untangle import untangled
 from pipeloom.sources.geojson import parse_features
@@ -221,3 +222,36 @@ def test_untangled_forests(spark):
     [chamber] = [r for r in out.values() if r.chamber and r.x > 900]  # 503's pipe is cut where it crosses 501's, and hangs from there
     assert (round(chamber.x, 6), round(chamber.y, 6), chamber.parent_id) == (1075.0, 1000.0, 500) and out[501].parent_id == out[503].parent_id == chamber.node_id and out[502].parent_id == 501
     assert untangled(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_merged_routes(spark):
+    draw = random.Random(1)
+    corner = lambda: (draw.randrange(4) * 10.0, draw.randrange(4) * 10.0)
+    routes = {i: [(0.0, 0.0), *(corner() for _ in range(draw.randint(1, 4)))] for i in range(60)} | {100: [(500.0, 0.0), (500.001, 0.0), (510.0, 0.0)], 101: [(500.002, 0.0), (510.0, 0.0), (520.0, 0.0)], 102: [(900.0, 900.0)], 103: []}
+    table = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in p]) for i, p in routes.items()], "route_id long, points array<struct<x:double,y:double>>")
+    tree = merged_routes(table)
+    nodes = {r.node_id: r for r in tree.nodes.collect()}
+    ends = {r.route_id: r.node_id for r in tree.ends.collect()}
+    assert set(ends) == set(routes) - {103}
+    want = set()
+    for i, at in ends.items():
+        way = []
+        while at is not None:
+            if nodes[at].kind != "cascade":
+                way.append((round(nodes[at].x, 2), round(nodes[at].y, 2)))
+            at = nodes[at].parent_id
+        snapped = [(round(x, 2), round(y, 2)) for x, y in routes[i]]
+        snapped = [p for p, q in zip(snapped, [None, *snapped]) if p != q]
+        assert way[::-1] == snapped
+        want |= {tuple(snapped[: k + 1]) for k in range(len(snapped))}
+    assert sum(r.kind != "cascade" for r in nodes.values()) == len(want)
+    ways = {}
+    for r in nodes.values():
+        ways.setdefault(r.parent_id, []).append(r)
+    assert all(len(v) <= 3 for p, v in ways.items() if p is not None) and any(r.kind == "cascade" for r in nodes.values())
+    assert sum(r.n_routes for r in ways[None]) == len(ends)
+    for p, v in ways.items():
+        if p is not None:
+            inside = sum(1 for i in ends.values() if i == p)
+            assert nodes[p].n_routes == sum(r.n_routes for r in v) + inside or any(r.kind == "cascade" for r in v)
+    assert nodes[ends[101]].depth == 2 and nodes[nodes[ends[101]].parent_id].kind == "point" and merged_routes(table.limit(0)).nodes.count() == 0
