@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pipeloom.sources.collections import collection_objects
+
 # Object types and the kinds of rows that they are.
 KINDS = {
     "source": "source", "heat_network": "segment", "heat_chamber": "chamber", "oks_connection_point": "demand", "oks_future": "future", "restriction": "restriction", "oks_existing": "restriction",
@@ -80,11 +82,10 @@ def checked_features(features: DataFrame) -> DataFrame:
 def read_features(spark: SparkSession, path: str, kinds: list[str] | None = None, collection: bool = False) -> DataFrame:
     """Features of the files at path; kinds keeps rows of these kinds and those with problems.
 
-    A collection is one row of one task until its features are parted, so it is for files of up to 1 GB; larger inputs hold a
-    feature a line.
+    Without `collection` the files hold a feature a line; with it each is a FeatureCollection, of any lines and any size.
     """
     if collection:
-        lines = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("value"))
+        lines = collection_objects(spark, path)
     else:
         lines = spark.read.text(path).filter(F.trim("value") != "")
     found = parse_features(lines)
