@@ -39,6 +39,19 @@ def nearest(pairs: DataFrame, left_id: str, right_id: str) -> DataFrame:
     return best.select(left_id, F.col(f"best.{right_id}").alias(right_id), F.col("best.d2").alias("d2"))
 
 
+def nearest_of_all(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str) -> DataFrame:
+    """The nearest right point of every left point, at any distance: the radius doubles for those that have found none; ties go to the smaller id."""
+    right = staged(right.select(right_id, "x", "y"), "right")
+    if right.isEmpty():
+        return nearest(within(left, right, radius, left_id, right_id), left_id, right_id)
+    waiting, found = staged(left.select(left_id, "x", "y").filter("x is not null and y is not null"), "waiting"), None
+    while not waiting.isEmpty():
+        got = staged(nearest(within(waiting, right, radius, left_id, right_id), left_id, right_id), "nearest")
+        found = got if found is None else found.unionByName(got)
+        waiting, radius = staged(waiting.join(got.select(left_id), left_id, "left_anti"), "waiting"), radius * 2
+    return found if found is not None else nearest(within(left, right, radius, left_id, right_id), left_id, right_id)
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, point_id: str, size: float = 25.0) -> DataFrame:
     """Points (x, y) with the boxes (cx, cy, half_w, half_h, other columns kept) that hold them, borders included."""
     a = points.withColumn("cell", F.struct(F.floor(F.col("x") / size).alias("cx_"), F.floor(F.col("y") / size).alias("cy_")))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pipeloom.functions.reference import by_dn, min_dn, roubles, segment_cost, sql_case, sql_min_dn
 from pipeloom.operators.lines import spaced
-from pipeloom.operators.spatial import within
+from pipeloom.operators.ranks import rank_in_blocks
+from pipeloom.operators.spatial import nearest_of_all, within
 from pipeloom.operators.tree import bfs, roll_up, walk_up
 from pipeloom.plans.geometry import _NEAR, _projections, vertices
 from pipeloom.plans.network import _D2, _DEGREE, _P, chamber_degree
@@ -182,7 +183,7 @@ def varied_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def focus_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all restriction centres the 2400 nearest to a chamber."""
     r = view(spark, sf_dir, "restriction").select("restriction_id", F.col("cx").alias("x"), F.col("cy").alias("y"))
-    near = within(r, view(spark, sf_dir, "chamber"), 100.0, "restriction_id", "chamber_id").groupBy("restriction_id").agg(F.min(F.round("d2", 6)).alias("d2"))
+    near = nearest_of_all(r, view(spark, sf_dir, "chamber"), 50.0, "restriction_id", "chamber_id").select("restriction_id", F.round("d2", 6).alias("d2"))
     return near.orderBy("d2", "restriction_id").limit(2400)
 
 
@@ -225,7 +226,8 @@ def export_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants in the order in which they are first seen, with the features of each part."""
     s = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("variant_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
     first = s.groupBy("variant_id").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_features"))
-    return first.select("variant_id", F.rank().over(Window.orderBy("first_pos", "variant_id")).alias("part"), "n_features")
+    ranked = rank_in_blocks(first.withColumn("all", F.lit(0)), "all", F.floor(F.col("first_pos") / 100_000), ["first_pos", "variant_id"])
+    return ranked.select("variant_id", F.col("rank").cast("int").alias("part"), "n_features")
 
 
 def export_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,7 +346,7 @@ QUERIES = {
     "tie_in_choices": (tie_in_choices, _CHOICES + " select oks_id, kind, target_id, d, place from choice"),
     "second_choice": (second_choice, _CHOICES + " select oks_id, arg_min(kind, place) as kind, arg_min(target_id, place) as target_id from choice c where not exists (select 1 from choice f where f.place = 1 and f.oks_id = c.oks_id and f.kind = c.kind and f.target_id = c.target_id) group by 1"),
     "varied_attempts": (varied_attempts, None),
-    "focus_corners": (focus_corners, f"{_P} select restriction_id, min(round((cx - x) * (cx - x) + (cy - y) * (cy - y), 6)) as d2 from restriction join chamber on (cx - x) * (cx - x) + (cy - y) * (cy - y) <= 10000 group by 1 order by 2, 1 limit 2400"),
+    "focus_corners": (focus_corners, f"{_P} select restriction_id, min(round((cx - x) * (cx - x) + (cy - y) * (cy - y), 6)) as d2 from restriction, chamber group by 1 order by 2, 1 limit 2400"),
     "refinement_order": (refinement_order, _SCORES + " select group_id, variant_key, row_number() over (partition by group_id order by penalty > 0, score, variant_key)::int as turn from s"),
     "merged_plans": (merged_plans, "with p as (select distinct l_orderkey // 2 as pair, l_orderkey % 2 as side, 'n' || l_linenumber::varchar as own, l_suppkey::varchar as i from lineitem), r as (select pair, case when side = 1 and exists (select 1 from p a where a.pair = p.pair and a.side = 0 and a.own = p.own) then 'p2_' || own else own end as own, i from p) select pair, own, count(distinct i) as n_inputs, min(i) as first_input from r group by 1, 2"),
     "variant_differences": (variant_differences, "with o as (select o_orderkey as v, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) as r from orders), s as (select l_orderkey as v, list(distinct l_suppkey) as s from lineitem group by 1), b as (select o_custkey, max(s) filter (where r = 1) as a, max(s) filter (where r = 2) as b from o join s using (v) where r <= 2 group by 1) select o_custkey, array_to_string(list_sort(list_filter(a, lambda x: not list_contains(b, x))), '+') as only_first, array_to_string(list_sort(list_filter(b, lambda x: not list_contains(a, x))), '+') as only_second from b where a is not null and b is not null"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipeloom.functions.reference import DIAMETERS, GABARITS, RULES, UTILITIES
-from pipeloom.operators.spatial import nearest, within
+from pipeloom.operators.spatial import nearest, nearest_of_all, within
 from pipeloom.plans.geometry import vertices
 from pipeloom.plans.network import _P
 from pipeloom.shared import load
@@ -145,11 +145,10 @@ def two_pass_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def area_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The envelope of points (those of the lower left quarter here) and of the pipe vertex nearest to each; of all pipes
-    where these span at most 3 km; 1 km wider on every side."""
-    oks = view(spark, sf_dir, "oks").filter("x < 250 and y < 250")
+    """The envelope of points and of the pipe vertex nearest to each; of all pipes where these span at most 3 km; 1 km wider on every side."""
+    oks = view(spark, sf_dir, "oks")
     v = vertices(spark, sf_dir).filter("seq = 0").select("line_id", "x", "y")
-    near = nearest(within(oks, v, 50.0, "oks_id", "line_id"), "oks_id", "line_id").select("line_id").join(v, "line_id").select("x", "y")
+    near = nearest_of_all(oks, v, 25.0, "oks_id", "line_id").select("line_id").join(v, "line_id").select("x", "y")
     span = lambda d: d.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     some, whole = span(oks.select("x", "y").unionByName(near)), span(v)
     whole = whole.select(*(F.col(c).alias(f"w{c}") for c in ("x0", "x1", "y0", "y1")))
@@ -180,8 +179,8 @@ _EFFECT = "case rule " + " ".join(f"when '{n}' then '{w}'" for n, (w, _, _) in R
 _OFFSET = "case rule " + " ".join(f"when '{n}' then {'null' if m is None else m}" for n, (_, m, _) in RULES.items()) + " else 1.0 end::double"
 _FEATURES = f"f as (select p_partkey, case when p_partkey % 16 in (5, 15) then null else p_partkey::varchar end as id, {_sql_pick('p_partkey', [k for k, _, _ in FOUND])} as kind, {_sql_pick('p_partkey', [p for _, p, _ in FOUND])} as problem, ({_sql_pick('p_partkey', [n for _, _, n in FOUND])})::int as n_pairs from part)"
 _V0 = "vertex as (select c_custkey as line_id, k as seq, cast((c_custkey * 7919) % 100003 as double) / 100 + 12 * k + (c_custkey * 31 + k * 17) % 13 as x, cast((c_custkey * 104729) % 99991 as double) / 100 + (c_custkey * 53 + k * 29) % 41 - 20 as y from customer, (values (0), (3)) v(k))"
-_BOX = f"""{_P}, {_V0}, few as (select * from oks where x < 250 and y < 250), v as (select * from vertex where seq = 0),
-  n as (select v.x, v.y from (select oks_id, arg_min(line_id, (round(d2, 9), line_id)) as line_id from (select o.oks_id, v.line_id, (o.x - v.x) * (o.x - v.x) + (o.y - v.y) * (o.y - v.y) as d2 from few o join v on (o.x - v.x) * (o.x - v.x) + (o.y - v.y) * (o.y - v.y) <= 2500) group by 1) join v using (line_id)),
+_BOX = f"""{_P}, {_V0}, few as (select * from oks), v as (select * from vertex where seq = 0),
+  n as (select v.x, v.y from (select oks_id, arg_min(line_id, (round(d2, 9), line_id)) as line_id from (select o.oks_id, v.line_id, (o.x - v.x) * (o.x - v.x) + (o.y - v.y) * (o.y - v.y) as d2 from few o, v) group by 1) join v using (line_id)),
   s as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from (select x, y from few union all select x, y from n)), w as (select min(x) as wx0, max(x) as wx1, min(y) as wy0, max(y) as wy1 from v),
   b as (select *, sqrt((wx1 - wx0) * (wx1 - wx0) + (wy1 - wy0) * (wy1 - wy0)) <= 3000 as short from s, w),
   box as (select case when short then least(x0, wx0) else x0 end - 1000 as x0, case when short then greatest(x1, wx1) else x1 end + 1000 as x1, case when short then least(y0, wy0) else y0 end - 1000 as y0, case when short then greatest(y1, wy1) else y1 end + 1000 as y1 from b)"""
