@@ -12,7 +12,7 @@ verified by their cosine in double precision, each in the first table that bring
 Copies (equal vectors of one label) are one node. Cells are cut into blocks, pairs of blocks are groups, and a group
 returns sums and a spanning forest of its links, not the links. Vectors that are null, empty, zero or hold null or
 non-finite components, and those with a null label, link with nothing; vectors of unequal length don't link; repeated
-rows are copies. An empty table gives an empty result; other columns are not read.
+rows are copies, and different vectors under one vec_id are linked and counted apart. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -167,8 +167,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0)
     sound &= F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < huge)) & F.exists("vector", lambda v: v != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("h1", F.xxhash64("label", "vector")).withColumn("h2", F.xxhash64("vector", "label", F.lit(1)))
-    nodes = rows.filter("sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.first("label").alias("label"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    nodes = staged(nodes, "nodes")
+    nodes = rows.filter("sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.first("label").alias("label"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    # numbered in the order of their smallest vec_id, which different vectors may share
+    nodes = staged(nodes.repartitionByRange("least", "h1").sortWithinPartitions("least", "h1", "h2").withColumn("id", F.monotonically_increasing_id()), "nodes")
     kind = "<f4" if rows.schema["vector"].dataType == ArrayType(FloatType(), rows.schema["vector"].dataType.containsNull) else "<f8"
     per_cell, tables, need = _plan(nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
     distance = math.sqrt(2 - 2 * cosine)
@@ -183,8 +184,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     found = staged(found, "found")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
-    known = nodes.select("h1", "h2", "id", "copies").join(counts, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("c"))
+    comp = comp.join(nodes.select(F.col("id").alias("component_id"), F.col("least").alias("c")), "component_id").select(F.col("node").alias("id"), "c")
+    known = nodes.select("h1", "h2", "id", "least", "copies").join(counts, "id", "left").join(comp, "id", "left")
+    known = known.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("c", "least").alias("c"))
     out = rows.select("vec_id", "sound", "h1", "h2").join(known, ["h1", "h2"], "left")
     own = F.when(F.col("sound"), F.coalesce("c", "vec_id")).otherwise(F.col("vec_id"))
     out = out.select("vec_id", F.when(F.col("sound"), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), own.alias("component_id"))

@@ -216,3 +216,13 @@ def test_chat_trees(spark, parts):
 
 def test_no_chats(spark):
     assert digests(chat_tree.chat_tree(chats(spark).limit(0))).count() == 0
+
+
+def test_vectors_that_share_a_vec_id_stay_apart(spark):
+    from pipeloom.llm.embedding_dedup import near_vectors
+
+    a, b = [1.0] + [0.0] * 7, [0.0] * 7 + [1.0]
+    near = lambda v: [x + 0.05 for x in v]
+    rows = [(5, a, 1), (5, b, 1), (7, near(a), 1), (8, near(b), 1), (9, a, 2), (5, a, 1)]
+    got = sorted(tuple(r) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(5, 1, 5, True), (5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (8, 1, 5, False), (9, 0, 9, True)]
