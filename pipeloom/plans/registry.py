@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from pipeloom.plans import assembly, depths, details, geometry, ingest, network, planning, sizing, surveys, zones
+from pipeloom.plans import assembly, branching, depths, details, geometry, ingest, network, planning, sizing, surveys, zones
 
-PARTS = (sizing, network, surveys, planning, geometry, assembly, ingest, details, zones, depths)
+PARTS = (sizing, network, surveys, planning, geometry, assembly, ingest, details, zones, depths, branching)
 #: Decimal results of queries, handed out as doubles by both engines.
 DECIMALS = {
     "min_dn_asof": ["flow_tph"], "tree_flow_rollup": ["flow"], "tree_leaf_paths": ["path_m"], "dn_runs": ["run_m"], "upstream_added_flow": ["added"], "suffix_tie_in_flow": ["flow"],
