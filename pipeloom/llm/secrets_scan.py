@@ -5,8 +5,10 @@ characters with few characters a token is reported as `random`; of a run with mo
 widened to the separators around it where it keeps that ratio. What counts as few, and how many kinds of characters
 (lower case, upper case, both mixed inside, digits) are asked for, depends on the length, since short natural runs scatter
 more (LIMITS): from 20 characters on the ratio alone decides, unless the run has other symbols than base64's and
-identifiers'. Known digests (hex of a digest's length), UUIDs and spans of a fixed format are cut out of the runs first.
-Runs below 12 characters can't be told from words and are left.
+identifiers'. Known digests (hex of a digest's length), UUIDs, dates and times, numbered notices (ABC-2021-123), product
+codes (groups of at most four capitals and digits), chemical formulas, hosts of addresses and spans of a fixed format are
+cut out of the runs first, and what follows a host is judged part by part. Runs below 12 characters, or of fewer than 7
+different ones, can't be told from words and are left.
 
 Null and empty texts have no spans; whole texts are scanned in time linear in their length, however long; repeated rows
 get equal spans; an empty table gives an empty result; other columns of docs are not read.
@@ -38,7 +40,18 @@ _RUN = re.compile(r"[!-~]{%d,}" % LEAST)
 #: Runs that can pass at all: of 20 characters, or with a digit or a capital that doesn't begin them.
 _HOPEFUL = re.compile(r"[0-9]|.[A-Z]")
 _PLAIN = re.compile(r"[A-Za-z0-9+/_=-]*\Z")
-_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})(?![A-Za-z0-9])", re.IGNORECASE)
+#: Known digests, UUIDs, dates and times, numbered notices, product codes of short groups, chemical formulas.
+_KNOWN = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})"
+    r"|[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_][0-9]{2}:?[0-9]{2}(?::?[0-9]{2}(?:[.,][0-9]+)?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?"
+    r"|[A-Z]{2,10}-[0-9]{4}-[0-9]{3,}|[A-Z0-9]{1,4}(?:-[A-Z0-9]{1,4}){2,}"
+    r"|(?:\(?(?:Cl|Br|Na|Mg|Al|Si|Ca|Fe|Cu|Zn|[HCNOPSFKI])[0-9]{0,3}\)?[0-9]{0,2}){4,})(?![A-Za-z0-9])"
+)
+#: The scheme and host of an address; what follows is judged part by part.
+_ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[A-Za-z0-9.-]+(?::[0-9]+)?(?=[/?#]|\Z)")
+_BETWEEN = re.compile("[/?&=#]+")
+#: A random string has so many different characters at least.
+DISTINCT = 7
 _KINDS_OF = [re.compile(x) for x in ("[a-z]", "[0-9]", "[A-Z]", "[a-z0-9][A-Z]")]
 _PART = re.compile("[A-Za-z0-9+]+")
 
@@ -71,7 +84,7 @@ def _is_random(s: str, i: int, j: int, tokens: int, ratio: float) -> bool:
         return False
     if not _PLAIN.match(s, i, j):
         kinds = max(kinds, 3)
-    return sum(k.search(s, i, j) is not None for k in _KINDS_OF) >= kinds and not s[i:j].isdigit()
+    return sum(k.search(s, i, j) is not None for k in _KINDS_OF) >= kinds and not s[i:j].isdigit() and len(set(s[i:j])) >= DISTINCT
 
 
 def _stretches(s: str, encoding, ratio: float) -> list[tuple[int, int]]:
@@ -110,6 +123,16 @@ def _stretches(s: str, encoding, ratio: float) -> list[tuple[int, int]]:
     return found
 
 
+def _known(text: str, start: int, stop: int) -> list[tuple[int, int]]:
+    """What is known to be no secret between start and stop; after the host of an address also the signs between its parts."""
+    found = [m.span() for m in _KNOWN.finditer(text, start, stop)]
+    if (at := text.find("://", start, stop)) >= 0:
+        for m in _ADDRESS.finditer(text[start:stop]):
+            found.append((start + m.start(), start + m.end()))
+        found += [m.span() for m in _BETWEEN.finditer(text, at + 3, stop)]
+    return found
+
+
 def _random(text: str, taken: list[tuple[int, int, int]], encoding, ratio: float) -> list[tuple[int, int, int]]:
     found = []
     spans = sorted((a, b) for a, _, b in taken)
@@ -119,7 +142,7 @@ def _random(text: str, taken: list[tuple[int, int, int]], encoding, ratio: float
             continue
         while k < len(spans) and spans[k][1] <= m.start():
             k += 1
-        cuts, j = [x.span() for x in _KNOWN.finditer(text, m.start(), m.end())], k
+        cuts, j = _known(text, m.start(), m.end()), k
         while j < len(spans) and spans[j][0] < m.end():
             cuts.append(spans[j])
             j += 1

@@ -272,6 +272,19 @@ def test_secrets_by_length(spark):
             assert share >= 0.85, (a, n, share)
 
 
+def test_secrets_leave_identifiers_alone(spark):
+    plain = [
+        "2024-01-15T10:30:00.000Z", "2023-12-01_23:59:59+02:00", "CVE-2021-44228-log4shell", "SKU-AB12-CD34-EF56", "https://www.youtube.com/watch?v=dQw4w9WgXcQ", "CH3CH2OCH2CH3C6H12O6", "z" * 24, "abcabcabc" * 5,
+        "https://docs.example.org/en/latest/user_guide/installation.html#requirements", "550e8400-e29b-41d4-a716-446655440000", "d41d8cd98f00b204e9800998ecf8427e", "/usr/local/lib/python/site-packages/module.py", "=" * 60,
+        "http://localhost:8080/api/v1/users?page=2&limit=100", "ISO-9001-2015-certified", "getElementsByClassName", "someFunctionName.anotherMethod()",
+    ]
+    keys = ["q7Xz9LmP2vRt8KwYb3NdF6Hs", "https://example.org/get?sig=q7Xz9LmP2vRt8KwYb3NdF6Hs", "2024-01-15T10:30:00Zq7Xz9LmP2vRt8KwYb3NdF6Hs", "https://user:q7Xz9LmP2vRt8KwYb3NdF6Hs@example.org/"]
+    table = spark.createDataFrame([(i, f"See {x} there.") for i, x in enumerate([*plain, *keys])], "doc_id long, text string")
+    got = {r.doc_id: [s.text for s in r.spans if s.kind == "random"] for r in find_secrets(table, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()}
+    assert [plain[i] for i in range(len(plain)) if got[i]] == []
+    assert all("q7Xz9LmP2vRt8KwYb3NdF6Hs" in "".join(got[len(plain) + i]) for i in range(len(keys)))
+
+
 def test_secrets_leave_prose_alone(spark, sf_dir):
     spans = [s for x in find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect() for s in x.spans]
     assert not [s for s in spans if s.kind == "random"]
