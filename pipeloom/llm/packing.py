@@ -109,8 +109,7 @@ class _Ids(dict):
             self.clear()
             self.held = 0
         before = len(self)
-        new = set().union(*texts)
-        new.difference_update(self)
+        new = {w for w in set().union(*texts) if w not in self}  # a set's own difference would walk all words that are remembered
         if self.older:
             known = new & self.older.keys()
             self.update(zip(known, map(self.older.__getitem__, known)))
@@ -126,8 +125,7 @@ class _Ids(dict):
             letters.add(a)
             if b:
                 ended.append((w, a, b))
-        letters.difference_update(self)
-        self.update(self.many(list(letters)))
+        self.update(self.many([a for a in letters if a not in self]))
         ends = {b for _, _, b in ended}
         ends = dict(zip(ends, self.of(list(ends))))
         self.update([(w, self[a] + ends[b]) for w, a, b in ended])
