@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from pipeloom.llm.columns import without
-from pipeloom.llm.words import Chunk, chunks, tidy
+from pipeloom.llm.words import Chunk, chunks, give_back, tidy
 
 WORD_BITS = 16
 FACTORS = 6
 SAMPLE = 3000
+FIT_VALUES = 1 << 16  # that a step of the fit holds at once
 STATS, BINS = 13, 33
 _KINDS = np.full(256, 7, np.int64)  # not ASCII
 _KINDS[:128] = 6  # symbols
@@ -97,6 +98,16 @@ def _features(c: Chunk, extra: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
     return np.searchsorted(owner[order], np.arange(n + 1)), feature, value
 
 
+def _steps(first: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges (i, j) of the groups first[i]:first[i + 1] that hold `most` values at most, or are one group."""
+    out, i = [], 0
+    while i < len(first) - 1:
+        j = max(i + 1, int(np.searchsorted(first, first[i] + most, "right")) - 1)
+        out.append((i, j))
+        i = j
+    return out
+
+
 class FactorMachine:
     def __init__(self, features: int, factors: int = FACTORS, seed: int = 3) -> None:
         self.w0 = np.float32(0)
@@ -113,21 +124,34 @@ class FactorMachine:
 
     def fit(self, first: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 100, rate: float = 0.05, decay: float = 2e-4) -> None:
         """Adam on the whole weighted sample, over the features that it has."""
-        kinds, at = np.unique(feature, return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        begin = np.searchsorted(at[order], np.arange(len(kinds)))
-        row = np.repeat(np.arange(len(label)), np.diff(first))
+        there = np.zeros(len(self.w), bool)
+        there[feature] = True
+        kinds = np.flatnonzero(there)
+        at = (np.cumsum(there) - 1).astype(np.int32)[feature]
+        order = np.argsort(at, kind="stable").astype(np.int32)
+        row = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(first))[order]
+        kind, by_kind = at[order], value[order]
+        del order
+        begin = np.searchsorted(kind, np.arange(len(kinds) + 1))
+        # values are taken some at a time, by row for the sums and by feature for the gradient, and none is kept for all
+        rows, cols = _steps(first, FIT_VALUES), _steps(begin, FIT_VALUES)
         p = np.concatenate((self.w[kinds, None], np.random.default_rng(self.seed).normal(0, 0.02, (len(kinds), self.v.shape[1]))), axis=1).astype(np.float32)
         m, s, m0, s0 = np.zeros_like(p), np.zeros_like(p), 0.0, 0.0
+        sums, y, grad = np.zeros((len(label), self.v.shape[1]), np.float32), np.zeros(len(label), np.float32), np.zeros_like(p)
         weight = weight / weight.sum()
         for step in range(1, rounds + 1):
-            vx = p[at, 1:] * value[:, None]
-            sums = np.add.reduceat(vx, first[:-1], axis=0)
-            y = self.w0 + np.add.reduceat(p[at, 0] * value, first[:-1]) + 0.5 * ((sums * sums).sum(axis=1) - np.add.reduceat((vx * vx).sum(axis=1), first[:-1]))
+            for i, j in rows:
+                some = slice(first[i], first[j])
+                vx = p[at[some], 1:] * value[some, None]
+                sums[i:j] = np.add.reduceat(vx, first[i:j] - first[i], axis=0)
+                y[i:j] = self.w0 + np.add.reduceat(p[at[some], 0] * value[some], first[i:j] - first[i]) + 0.5 * ((sums[i:j] * sums[i:j]).sum(axis=1) - np.add.reduceat((vx * vx).sum(axis=1), first[i:j] - first[i]))
             g = (weight * (1 / (1 + np.exp(-y)) - label)).astype(np.float32)
-            each = g[row] * value
-            grad = np.concatenate((each[:, None], each[:, None] * (sums[row] - vx)), axis=1)[order]
-            grad = np.add.reduceat(grad, begin, axis=0) + decay * p
+            for i, j in cols:
+                some = slice(begin[i], begin[j])
+                each = g[row[some]] * by_kind[some]
+                part = np.concatenate((each[:, None], each[:, None] * (sums[row[some]] - p[kind[some], 1:] * by_kind[some, None])), axis=1)
+                grad[i:j] = np.add.reduceat(part, begin[i:j] - begin[i], axis=0)
+            grad += decay * p
             m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
             p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
             m0, s0 = 0.9 * m0 + 0.1 * g.sum(), 0.99 * s0 + 0.01 * float(g.sum()) ** 2
@@ -165,15 +189,19 @@ def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
                 part = [[a[i:j].tobytes() for i, j in zip(first[:-1], first[1:])] for a in (feature.astype(np.int32), value)]
                 yield pa.RecordBatch.from_arrays([batch.column(len(metadata) + 1).slice(c.rows.start, len(first) - 1), *(pa.array(x, pa.binary()) for x in part)], names=["label", "feature", "value"])
 
-    got = rows.mapInArrow(tidy(run), "label int, feature binary, value binary").toPandas().sort_values(["label", "feature", "value"])
-    if not len(got):
+    got = rows.mapInArrow(tidy(run), "label int, feature binary, value binary").toArrow()  # 2 * sample rows, unless ids repeat
+    if not got.num_rows:
         return model
-    feature = [np.frombuffer(x, np.int32) for x in got.feature]
+    got = got.sort_by([(c, "ascending") for c in got.column_names])
+    feature, value = ([np.frombuffer(x.as_buffer(), kind) for x in got.column(c)] for c, kind in (("feature", np.int32), ("value", np.float32)))
     first = np.concatenate(([0], np.cumsum([len(x) for x in feature])))
-    label = got.label.to_numpy()
+    label = got.column("label").to_numpy()
+    feature, value = np.concatenate(feature), np.concatenate(value)
+    del got
     there = {k: max(1, int((label == k).sum())) for k in total}
     weight = np.array([total[k] / there[k] for k in label.tolist()])
-    model.fit(first, np.concatenate(feature).astype(np.int64), np.concatenate([np.frombuffer(x, np.float32) for x in got.value]), label, weight)
+    model.fit(first, feature, value, label, weight)
+    give_back()
     return model
 
 
