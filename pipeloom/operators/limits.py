@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipeloom.functions.reference import DIAMETERS, by_dn
+from pipeloom.operators.spatial import shuffled
 from pipeloom.operators.tree import roll_up, walk_up
 from pipeloom.shared import staged
 
@@ -13,7 +14,7 @@ TOLERANCE = "0.01"
 
 
 def _with_parent_dn(t: DataFrame) -> DataFrame:
-    return t.join(t.select(F.col("node_id").alias("parent_id"), F.col("dn").alias("up_dn")), "parent_id", "left")
+    return t.join(shuffled(t.select(F.col("node_id").alias("parent_id"), F.col("dn").alias("up_dn"))), "parent_id", "left")
 
 
 def over_limit(tree: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def over_limit(tree: DataFrame) -> DataFrame:
     t = staged(_with_parent_dn(tree), "runs")
     head = F.col("up_dn").isNull() | (F.col("up_dn") != F.col("dn"))
     down = walk_up(t, F.col("length_m"), "run_m", "decimal(18,3)", stop=head).select("node_id", "run_m")
-    cut = t.select("node_id", F.when(~head, F.col("parent_id")).alias("parent_id")).join(down, "node_id")
+    cut = t.select("node_id", F.when(~head, F.col("parent_id")).alias("parent_id")).join(shuffled(down), "node_id")
     return roll_up(cut, "run_m", "longest", "decimal(18,3)", how=F.max)
 
 
@@ -41,8 +42,8 @@ def raise_for_length(tree: DataFrame) -> DataFrame:
     state = staged(tree.select("node_id", "parent_id", "length_m", F.coalesce("dn", F.lit(sizes[0])).alias("dn")), "dns")
     while True:
         level = roll_up(state, "dn", "dn", "int", how=F.max)
-        state = staged(state.drop("dn").join(level, "node_id"), "dns")
-        known = state.join(over_limit(state), "node_id").withColumn("too_long", F.col("longest") > by_dn(F.col("dn"), 2) + F.lit(TOLERANCE).cast("decimal(4,2)"))
+        state = staged(state.drop("dn").join(shuffled(level), "node_id"), "dns")
+        known = state.join(shuffled(over_limit(state)), "node_id").withColumn("too_long", F.col("longest") > by_dn(F.col("dn"), 2) + F.lit(TOLERANCE).cast("decimal(4,2)"))
         known = staged(known, "limits")
         if known.filter(F.col("too_long") & (F.col("dn") < sizes[-1])).isEmpty():
             return known.select("node_id", "dn", "too_long")
